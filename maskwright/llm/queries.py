@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, token_ids
+from . import decontamination, near_dedup, packing, token_ids
 
-QUERIES = {f.__name__: f for f in (token_ids.op1_token_ids, decontamination.op8_decontamination, packing.op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (token_ids.op1_token_ids, decontamination.op8_decontamination, packing.op9_best_fit_packing, near_dedup.op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
