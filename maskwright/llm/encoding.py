@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import filterfalse
 
 import numpy as np
 
@@ -17,7 +18,13 @@ _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u20
 
 def _pieces_spaces(text: str) -> list[str] | None:
     """For tokenizers that drop white space. None: encode the text as a whole."""
-    return None if _CONTROL_SPACE.search(text) else text.split()
+    if _CONTROL_SPACE.search(text):
+        return None
+    try:  # within Latin-1 a letter's lower case is one letter, whatever stands beside it
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return text.lower().split() if "<|" not in text else text.split()
 
 
 def _pieces_bytes(text: str) -> list[str] | None:
@@ -29,9 +36,12 @@ def _pieces_bytes(text: str) -> list[str] | None:
 
 
 class TextEncoder:
-    """ids(text) as little-endian unsigned 32-bit bytes, equal to the library's encoding of the whole text."""
+    """ids(texts) as little-endian unsigned 32-bit bytes, equal to the library's encoding of each whole text."""
+
+    #: Punctuation that the pre-tokenizers cut off a letter before it, whatever follows.
+    AFTER_LETTER = ".,;:!?"
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,6 +49,9 @@ class TextEncoder:
         byte_level = "ByteLevel" in type(self.tok.pre_tokenizer).__name__
         self.lead = " " if byte_level else ""
         self.pieces = _pieces_bytes if byte_level else _pieces_spaces
+        #: Tokens that begin (byte level) or end a word of letters.
+        self.edge = np.zeros(self.vocab_size, bool)
+        self.edge[[i for t, i in self.tok.get_vocab().items() if (t[0] == "\u0120" if byte_level else t.endswith("</w>"))]] = True
         self.limit, self.new, self.old = limit, {}, {}
 
     @property
@@ -48,33 +61,61 @@ class TextEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Of words of letters, each after a blank: one call for all, cut at the tokens that begin or end a word."""
+        if not words:
+            return []
+        ids = np.array(self.tok.encode(self.lead + " ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        at = np.flatnonzero(self.edge[ids]) + (not self.lead)
+        ends = [*at[1:].tolist(), len(ids)] if self.lead else at.tolist()
+        starts = at.tolist() if self.lead else [0, *ends[:-1]]
+        if len(at) != len(words) or (ends[-1] != len(ids)) or starts[0]:
+            return self._encode([self.lead + w for w in words])
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+
     def _look_up(self, pieces: list[list[str]]) -> None:
         """Puts every piece into the newer generation."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        if len(new) > self.limit:
-            self.old, self.new = new, {}
-            new, old = self.new, self.old
-        missing = set().union(*pieces).difference(new)
-        fresh = []
+        missing: set[str] = set()
+        for c in pieces:
+            missing.update(filterfalse(new.__contains__, c))
+        ended, fresh = [], set()
         for p in missing:
             v = old.get(p)
-            if v is None:
-                fresh.append(p)
-            else:
+            if v is not None:
                 new[p] = v
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            lead = self.lead
-            new.update(zip(part, self._encode([p if p[0] == "\n" else lead + p for p in part] if lead else part), strict=True))
+                continue
+            base = p.rstrip(self.AFTER_LETTER)
+            if base and base is not p and base[-1].isalpha():
+                ended.append((p, base))
+                if base not in new and (v := old.get(base)) is None:
+                    fresh.add(base)
+                elif base not in new:
+                    new[base] = v
+            else:
+                fresh.add(p)
+        words = [p for p in fresh if p.isalpha()]
+        for at in range(0, len(words), 5000):
+            new.update(zip(words[at : at + 5000], self._encode_words(words[at : at + 5000]), strict=True))
+        rest = [p for p in fresh if not p.isalpha()]
+        new.update(zip(rest, self._encode([p if p[0] == "\n" else self.lead + p for p in rest]), strict=True))
+        marks = list({p[len(b) :] for p, b in ended})
+        mark = dict(zip(marks, self._encode(marks), strict=True))
+        for p, b in ended:
+            new[p] = new[b] + mark[p[len(b) :]]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         cut = [self.pieces(t) for t in texts]
-        heads: list[str] = []
+        heads = [""] * len(texts)
         if self.lead:  # the first piece has no blank before it
             heads = [c[0] if c and c[0] and c[0][0] != "\n" else "" for c in cut]
-            cut = [c[1:] if c and h else ([x for x in c if x] if c else c) for c, h in zip(cut, heads, strict=True)]
+            cut = [c[1:] if h else c and [x for x in c if x] for c, h in zip(cut, heads, strict=True)]
         self._look_up([c for c in cut if c])
         get = self.new.__getitem__
-        first = dict(zip(whole := sorted({t for t, c in zip(texts, cut, strict=True) if c is None} | {h for h in heads if h}), self._encode(whole), strict=True)) if self.lead or None in cut else {}
-        return [first[t] if c is None else (first[heads[i]] if self.lead and heads[i] else b"") + b"".join(map(get, c)) for i, (t, c) in enumerate(zip(texts, cut, strict=True))]
+        whole = list({t for t, c in zip(texts, cut, strict=True) if c is None} | {h for h in heads if h})
+        first = dict(zip(whole, self._encode(whole), strict=True)) | {"": b""}
+        return [first[t] if c is None else first[h] + b"".join(map(get, c)) for t, c, h in zip(texts, cut, heads, strict=True)]
