@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing, token_ids
+from . import decontamination, language_id, near_dedup, packing, token_ids, toxicity
 
-QUERIES = {f.__name__: f for f in (token_ids.op1_token_ids, decontamination.op8_decontamination, packing.op9_best_fit_packing, near_dedup.op10_minhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        token_ids.op1_token_ids,
+        language_id.op3_language_id,
+        toxicity.op6_toxicity,
+        decontamination.op8_decontamination,
+        packing.op9_best_fit_packing,
+        near_dedup.op10_minhash_near_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
