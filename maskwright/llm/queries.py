@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_dedup, packing, token_ids, toxicity
+from . import decontamination, language_id, near_dedup, packing, token_ids, toxicity, vector_search
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         token_ids.op1_token_ids,
         language_id.op3_language_id,
         toxicity.op6_toxicity,
+        vector_search.op7_vector_search,
         decontamination.op8_decontamination,
         packing.op9_best_fit_packing,
         near_dedup.op10_minhash_near_dedup,
