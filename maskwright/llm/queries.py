@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_dedup, packing, token_ids, toxicity, vector_search
+from . import decontamination, language_id, lm_scoring, near_dedup, packing, token_ids, toxicity, vector_search
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_ids.op1_token_ids,
+        lm_scoring.op2_lm_scoring,
         language_id.op3_language_id,
         toxicity.op6_toxicity,
         vector_search.op7_vector_search,
