@@ -315,9 +315,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
     return scratch.write(solved, "spans").groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"))
 
 
-def _merged(spans: list[bytes] | None) -> list[tuple[int, int]]:
+def _merged(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted(tuple(x) for s in spans or [] for x in np.frombuffer(s, "<i8").reshape(-1, 2).tolist()):
+    for a, b in sorted(tuple(x) for s in (() if spans is None else spans) for x in np.frombuffer(s, "<i8").reshape(-1, 2).tolist()):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -345,6 +345,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, s in zip(texts, spans, strict=True):
+            if t is None or s is None:
+                out.append(t)
+                continue
             raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
             keep = np.ones(len(raw), bool)
             for a, b in _merged(s):
@@ -355,7 +358,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.Series(out)
 
     found = with_spans(docs, length)
-    return found.withColumn("text", F.when(F.col("_spans").isNotNull(), cut(F.col("text").cast("string"), "_spans")).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", cut(F.col("text").cast("string"), "_spans")).select(*docs.columns)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
