@@ -2,8 +2,8 @@
 
 Texts with equal shingle sets form a class; only class representatives are compared. In a
 bucket (equal minima in one band) every representative is first compared with the smallest.
-Buckets whose members are then in several components are compared in blocks across them, so
-no pair that shares a bucket goes untested unless it is connected already.
+Buckets that share members make a cluster; a cluster of several components is compared in
+blocks across them, so no pair that shares a bucket goes untested unless it is connected already.
 """
 
 from __future__ import annotations
@@ -96,6 +96,14 @@ def _sets(docs: DataFrame, k: int, bands: int, full: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets: 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     import pyarrow as pa
@@ -106,8 +114,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep = []
                 for x, y in zip(b.column(2), b.column(3), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                    keep.append(_linked(x, y, percent))
                 yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     s = sets.select("doc_id", "shingles")
@@ -123,32 +130,42 @@ def _similar(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.nd
     return np.nonzero(bits <= most)
 
 
-def _across(members: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket whose sketches are near.
+def _across(members: DataFrame, most: int, percent: int) -> DataFrame:
+    """Links (a, b) between different labels of a cluster.
 
-    members: bucket, rep, label, sketch. A bucket's largest label is set against the others,
-    and these against one another, in blocks: a group never holds more than a few blocks.
+    members: cluster, rep, label, sketch, shingles. A cluster's largest label is set against
+    the others, and these against one another, in blocks: a group never holds more than two
+    blocks. Near sketches are confirmed on the full sets at once, so that only links come out;
+    of the links between two labels in a pair of blocks, one.
     """
-    size = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    of = size.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).select("bucket", F.col("top.label").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("ga"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("go"))
-    m = members.join(of, "bucket").withColumn("is_main", F.col("label") == F.col("main"))
+    size = members.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    of = size.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).select("cluster", F.col("top.label").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("ga"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("go"))
+    m = members.join(of, "cluster").withColumn("is_main", F.col("label") == F.col("main"))
     mine = F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("ga")).otherwise(F.col("go"))).cast("int")
     m = m.withColumn("mine", mine)
     rows = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("go")).otherwise(F.col("ga")) - 1)
-    main = m.withColumn("other", F.explode(rows)).select("bucket", F.when(F.col("is_main"), F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("is_main"), F.col("other")).otherwise(F.col("mine")).alias("j"), F.col("is_main").alias("left"), "rep", "label", "sketch")
-    rest = m.where("not is_main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("go") - 1))).select("bucket", (-1 - F.least("mine", "other")).alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "rep", "label", "sketch")
+    cols = ["rep", "label", "sketch", "shingles"]
+    main = m.withColumn("other", F.explode(rows)).select("cluster", F.when(F.col("is_main"), F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("is_main"), F.col("other")).otherwise(F.col("mine")).alias("j"), F.col("is_main").alias("left"), *cols)
+    rest = m.where("not is_main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("go") - 1))).select("cluster", (-1 - F.least("mine", "other")).alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), *cols)
 
     def compare(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         same = key[1] < 0 and -1 - key[1] == key[2]
         x, y = (p, p) if same else (p[p["left"]], p[~p["left"]])
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        i, j = _similar(*(np.frombuffer(b"".join(q["sketch"]), np.uint64).reshape(len(q), -1) for q in (x, y)), most)
-        a, b = x["rep"].to_numpy()[i], y["rep"].to_numpy()[j]
-        keep = x["label"].to_numpy()[i] != y["label"].to_numpy()[j]
-        return pd.DataFrame({"a": np.maximum(a, b)[keep], "b": np.minimum(a, b)[keep]}).drop_duplicates()
-
-    return main.unionByName(rest).groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        out, joined = [], set()
+        if len(x) and len(y):
+            i, j = _similar(*(np.frombuffer(b"".join(q["sketch"]), np.uint64).reshape(len(q), -1) for q in (x, y)), most)
+            lx, ly = x["label"].to_numpy(), y["label"].to_numpy()
+            cross = (lx[i] < ly[j]) if same else (lx[i] != ly[j])
+            sx, sy = ([np.frombuffer(t, np.uint64) for t in q["shingles"]] for q in (x, y))
+            rx, ry = x["rep"].to_numpy(), y["rep"].to_numpy()
+            for u, v in zip(i[cross].tolist(), j[cross].tolist(), strict=True):
+                if (lx[u], ly[v]) not in joined and _linked(sx[u], sy[v], percent):
+                    joined.add((lx[u], ly[v]))
+                    out.append((rx[u], ry[v]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    n = 2 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return main.unionByName(rest).repartition(n, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -178,11 +195,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = scratch.write(_confirm(stars, sets, percent), "star-links")
     labels = scratch.write(connected_components(links, scratch, "stars"), "labels")
 
-    labelled = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    rest = scratch.write(labelled.join(open_, "bucket", "left_semi").join(sketches, "rep"), "open")
-    pairs = scratch.write(_across(rest, most).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = _confirm(pairs, sets, percent)
+    # Whatever shares buckets, over any number of members, is a cluster; those of several labels are looked through.
+    clusters = connected_components(members.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), scratch, "clusters")
+    labelled = clusters.withColumnsRenamed({"v": "rep", "label": "cluster"}).join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("cluster", "rep", F.coalesce("label", "rep").alias("label"))
+    open_ = labelled.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
+    rest = labelled.join(open_, "cluster", "left_semi").join(classes.select("h1", "h2", "rep", "sketch"), "rep").join(sets.select("h1", "h2", "shingles").dropDuplicates(["h1", "h2"]), ["h1", "h2"])
+    more = scratch.write(_across(scratch.write(rest, "open"), most, percent), "pairs")
     for end in ("a", "b"):
         more = more.join(labels.withColumnsRenamed({"v": end, "label": "l"}), end, "left").withColumn(end, F.coalesce("l", end)).drop("l")
     merged = scratch.write(connected_components(scratch.write(more.where("a != b"), "more-links"), scratch, "all"), "merged")
