@@ -119,3 +119,13 @@ class TextEncoder:
         whole = list({t for t, c in zip(texts, cut, strict=True) if c is None} | {h for h in heads if h})
         first = dict(zip(whole, self._encode(whole), strict=True)) | {"": b""}
         return [first[t] if c is None else first[h] + b"".join(map(get, c)) for t, c, h in zip(texts, cut, heads, strict=True)]
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    """The process's encoder for a tokenizer file: a worker's later tasks find the pieces of its earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices, tokenizer_file
-from .encoding import TextEncoder
+from .encoding import encoder
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> tuple[dict[int, np.ndarray], int]:
@@ -103,7 +103,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        encode, seen, part = TextEncoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encode, seen, part = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
             for b in slices(whole):
                 rows = []

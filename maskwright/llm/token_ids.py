@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_ids, input_bytes, open_fs, parts_for, slices, tokenizer_file
-from .encoding import TextEncoder
+from .encoding import encoder
 
 MAGIC = b"FRQ1"
 #: Text bytes a shard holds, about.
@@ -61,7 +61,7 @@ def _tokenise(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextEncoder(path)
+        encode = encoder(path)
         wide = encode.vocab_size > 1 << 16
         for whole in batches:
             for b in slices(whole):
@@ -97,7 +97,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int | None
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-ids")
-    vocab = max(TextEncoder(tokenizer).vocab_size, (end_id or 0) + 1)
+    vocab = max(encoder(tokenizer).vocab_size, (end_id or 0) + 1)
     ids = scratch.write(_tokenise(docs, tokenizer, end_id), "ids")
     # A row for each token of the vocabulary at most comes to the driver.
     ranked = [r["token"] for r in token_counts(ids, vocab).orderBy(F.desc("n"), "token").collect()]
