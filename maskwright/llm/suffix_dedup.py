@@ -39,15 +39,14 @@ LATE = np.uint64(1 << 63)
 
 
 def _gram_hashes(b: np.ndarray) -> np.ndarray:
-    """Hashes of all 32-byte strings of b."""
-    w = np.zeros(len(b) - 7, np.uint64)
-    for j in range(8):
-        w |= b[j : len(b) - 7 + j].astype(np.uint64) << np.uint64(8 * j)
-    n = len(b) - ANCHOR + 1
+    """Hashes of all 32-byte strings of b: words of 2, 4 and 8 bytes at every place, then two steps of mixing."""
+    two = b[:-1].astype(np.uint16) | b[1:].astype(np.uint16) << np.uint16(8)
+    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
+    w = four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
     with np.errstate(over="ignore"):
-        h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
-        for j, f in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0xD6E8FEB86659FD93)):
-            h = (h ^ (h >> np.uint64(29))) + w[j : j + n] * np.uint64(f)
+        h = (w[:-8] ^ (w[:-8] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h = h[:-16] * np.uint64(0x165667B19E3779F9) + (h[16:] ^ (h[16:] >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return mix64(h) >> np.uint64(1)
 
 
@@ -166,6 +165,14 @@ class Transform:
         return cls(symbols[previous[order]], start[order])
 
 
+def _stable_order(symbols: np.ndarray) -> np.ndarray:
+    """argsort, stable, of integers from 0 on: by their lower 16 bits, then by their upper (radix sorts)."""
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(symbols) and symbols.max() > 0xFFFF:
+        order = order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray]:
     """The merged transform, and for each suffix the number of the interval that shares depth symbols.
 
@@ -178,7 +185,7 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
     while True:
         symbol = np.empty(len(side), a.before.dtype)
         symbol[~side], symbol[side] = a.before, b.before
-        order = np.argsort(symbol, kind="stable")
+        order = _stable_order(symbol)
         s, g = symbol[order], group[order]
         new = np.cumsum(np.concatenate([[False], (s[1:] != s[:-1]) | (g[1:] != g[:-1])]))
         turned = side[order]
@@ -234,12 +241,15 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], length: int) ->
     for e in range(8):
         s = at - e
         ok = (s >= base[owner]) & (s + length <= (base + size)[owner])
+        if not ok.any():
+            continue
         key = np.stack([group[ok], left[ok] & np.uint64((1 << 8 * e) - 1), right[ok] >> np.uint64(8 * e)])
-        order = np.lexsort(key)
+        # Equal keys come together by a hash; whether neighbours are equal is seen on the keys.
+        order = np.argsort(mix64(mix64(mix64(key[0]) ^ key[1]) ^ key[2]), kind="stable")
         k = key[:, order]
-        new = np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)]) if ok.any() else np.zeros(0, bool)
-        count = np.bincount(np.cumsum(new) - 1) if ok.any() else np.zeros(0, np.int64)
-        flat[s[ok][order][(count > 1)[np.cumsum(new) - 1]]] = True
+        new = np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)])
+        run = np.cumsum(new) - 1
+        flat[s[ok][order][(np.bincount(run) > 1)[run]]] = True
     for i, m in enumerate(masks):
         m[:] = flat[base[i] : base[i] + len(m)]
     return masks
