@@ -481,12 +481,74 @@ def stream_vault(spark, d):
     return spark.table(name).groupBy("outcome").agg(F.count("*").alias("n"), F.countDistinct("payload_id").alias("users"))
 
 
+ASKED = (
+    (1, "crm-assistant", None, "mask", "почта a@b.ru", None, False, "почта [EMAIL_1]", None),
+    (2, "crm-assistant", None, "mask", "почта a@b.ru", None, True, "почта a@b.ru", None),
+    (3, "payments-bot", "chat", "mask", "почта a@b.ru, тел 8 912 345-67-89", None, False, "почта a@b.ru, тел * *** ***-*7-89", None),
+    (4, "crm-assistant", None, "demask", "ответ [EMAIL_1]", "s1", False, "ответ a@b.ru", None),
+    (5, "crm-assistant", None, "demask", "ответ [EMAIL_1]", "s2", False, None, "session_not_found"),
+    (6, "analytics", None, "mask", "почта a@b.ru", None, False, None, "system_disabled"),
+    (7, "crm-assistant", "embeddings", "demask", "[EMAIL_1]", "s1", False, None, "demask_forbidden"),
+    (8, "crm-assistant", None, "drop", "x", None, False, None, "bad_operation"),
+)
+
+
+def process_requests(spark, d):
+    from .plans.requests import process
+
+    rows = spark.createDataFrame([r[:7] for r in ASKED], "request_id long, system_id string, route_id string, operation string, text string, session_id string, dry_run boolean")
+    vault = spark.createDataFrame([("crm-assistant", "s1", [("EMAIL_1", "EMAIL", "a@b.ru", "[EMAIL_1]")])], f"system_id string, session_id string, entries {M.ENTRIES}")
+    return process(rows, DEFAULT, SECRET, vault).select("request_id", "result", "error")
+
+
+BODIES = (('{"operation":"mask","text":"x"}', "explicit"), ('{"payload":"x","payload_id":"1"}', "correlated"), ('{"operation":"mask","texts":["a"]}', "batch"), ('{"operation":"fly"}', "bad_request"))
+
+
+def request_forms(spark, d):
+    from .sources.records import REQUEST, classify_request, json_lines
+
+    rows = spark.createDataFrame([(b,) for b, _ in BODIES] + [("# a comment",), ("",)], "value string")
+    return classify_request(json_lines(rows, REQUEST)).groupBy("form").agg(F.count("*").alias("n"))
+
+
+def load_texts(spark, d):
+    from .sources.records import load_texts as load
+
+    rows = spark.createDataFrame([('{"id":"a","category":"c","text":"one two"}',), ("# x",), ('{"text":"three"}',)], "value string")
+    return load(rows, 6).select("category", "text")
+
+
+def sql_detect(spark, d):
+    """The table function, joined laterally to documents with an @."""
+    from .operators.sql import register
+
+    register(spark, POLICY, SECRET)
+    spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").contains("@")).createOrReplaceTempView("maskwright_docs")
+    return spark.sql("SELECT doc_id, p.start, p.end FROM maskwright_docs, LATERAL pd_detect(text) p WHERE p.pd_type = 'EMAIL'")
+
+
+KEYS = (("crm-assistant", "k1"), ("payments-bot", "k2"))
+
+
+def authenticate(spark, d):
+    from .sources.config import key_hash
+
+    systems = spark.createDataFrame([(s, key_hash(k)) for s, k in KEYS], "system_id string, key_sha256 string")
+    asked = spark.createDataFrame([("k1",), ("k2",), ("k3",), (None,)], "api_key string")
+    return PL.authenticate(asked, systems, "crm-assistant")
+
+
+def prometheus_text(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+    return R.to_prometheus(e, "requests_total", ["event_type"], "n")
+
+
 _DOCS_QUERIES = (gate_docs, token_count_docs, mask_full_docs, mask_emails_cards, demask_roundtrip, selfcheck_leaks, vault_stateless, category_rates)
 _OTHER = (
     normalize_texts, offsets_texts, validate_numbers, validate_order_dates, validate_series, parse_numerals, relevance_filters, resolve_overlaps, combination_rules,
     combination_fold, mask_kinds, mask_synthetic, demask_tolerant, json_extract_chat, json_mask_chat, json_roundtrip_chat, mask_batch, policy_resolve, route_match,
     correlated_steps, vault_latest, rate_limit, circuit_breaker, invalid_runs, latency_percentiles, request_counters, quality_report, quality_fixtures,
-    detect_config_regex, ner_windows, recognise_external, stream_vault,
+    detect_config_regex, ner_windows, recognise_external, stream_vault, process_requests, request_forms, load_texts, sql_detect, authenticate, prometheus_text,
 )
 QUERIES = {f.__name__: f for f in (*_DOCS_QUERIES, *_OTHER)} | {
     "detect_email": _spans_query(M.email_spans), "detect_card": _spans_query(M.card_spans), "detect_phone_intl": _spans_query(M.phone_spans), "detect_date_numeric": _spans_query(M.date_spans),
@@ -544,6 +606,12 @@ ORACLES = {
     "quality_report": _values([("FIO", 1, 0, 0, 1.0, 1.0, 1.0), ("EMAIL", 2, 1, 0, 0.666667, 1.0, 0.8), ("PHONE", 0, 1, 1, 0.0, 0.0, 0.0), ("INN", 0, 0, 1, 0.0, 0.0, 0.0), ("all", 3, 2, 2, 0.6, 0.6, 0.6)], ["pd_type", "tp", "fp", "fn", '"precision"', "recall", "f1"], "siiiddd"),
     "quality_fixtures": _values([(sum(len(unmark(m)[1]) for _, m in MARKED), 0, 0)], ["tp", "fp", "fn"], "iii"),
     "detect_config_regex": _values([(0, 25, 41, 1.0, True), (1, 22, 38, 0.3, False)], ["id", '"start"', '"end"', "score", "ok"], "iiidb"),
+    "process_requests": _values([(r[0], *r[7:]) for r in ASKED], ["request_id", "result", "error"], "iss"),
+    "request_forms": _values([(f, 1) for _, f in BODIES], ["form", "n"], "si"),
+    "load_texts": _values([("c", "one two one two one two"), ("default", "three three three three three three")], ["category", "text"], "ss"),
+    "sql_detect": f'SELECT doc_id, start, "end" FROM ({_EMAIL_SQL})',
+    "authenticate": _values([("k1", "crm-assistant"), ("k2", "payments-bot"), ("k3", None), (None, "crm-assistant")], ["api_key", "system_id"], "ss"),
+    "prometheus_text": """SELECT 'requests_total{event_type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type""",
     "ner_windows": _values([(0, "сегодня пришла анна."), (0, " клиент доволен!")], ["id", "sentence"], "is"),
     "recognise_external": _values([(0, "FIO", 0, 8, 0.9), (0, "ADDR_CITY", 12, 20, 0.72)], ["id", "pd_type", '"start"', '"end"', "score"], "isiid"),
     "stream_vault": "SELECT 'masked' AS outcome, count(DISTINCT user_id) AS n, count(DISTINCT user_id) AS users FROM events UNION ALL SELECT 'repeated', count(*) - count(DISTINCT user_id), count(DISTINCT CASE WHEN k > 1 THEN user_id END) FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id) AS k FROM events)",
