@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, lm_scoring, near_dedup, packing, suffix_dedup, token_ids, toxicity, vector_search
+from . import decontamination, language_id, lm_scoring, near_dedup, packing, quality, suffix_dedup, token_ids, toxicity, vector_search
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         token_ids.op1_token_ids,
         lm_scoring.op2_lm_scoring,
         language_id.op3_language_id,
+        quality.op4_quality,
         suffix_dedup.op5_suffix_array_dedup,
         toxicity.op6_toxicity,
         vector_search.op7_vector_search,
