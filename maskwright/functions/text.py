@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 # What folding maps to a letter, a hyphen, a blank and a quote.
 FOLD = {"ё": "е", **dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-"), **dict.fromkeys("\t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " "), **dict.fromkeys("«»„“”", '"')}
 _TABLE = str.maketrans(FOLD)
+_FOLDED = re.compile("[" + "".join(map(re.escape, FOLD)) + "]")
 
 
 def _byte_starts(text: str) -> list[int] | None:
@@ -29,13 +30,15 @@ def _byte_starts(text: str) -> list[int] | None:
 class Document:
     """A text, its normalised form, and the way back from one to the other."""
 
-    __slots__ = ("text", "norm", "source", "text_bytes", "norm_bytes")
+    __slots__ = ("text", "norm", "source", "_starts")
 
     def __init__(self, text: str):
-        self.text, self.source = text, None
+        self.text, self.source, self._starts = text, None, {}
         lower = text.lower()
-        if len(lower) == len(text) and "Σ" not in text and unicodedata.is_normalized("NFKC", text) and unicodedata.is_normalized("NFKC", lower):
-            self.norm = lower.translate(_TABLE)
+        if text.isascii():
+            self.norm = lower.replace("\t", " ")
+        elif len(lower) == len(text) and "Σ" not in text and unicodedata.is_normalized("NFKC", text) and unicodedata.is_normalized("NFKC", lower):
+            self.norm = lower.translate(_TABLE) if _FOLDED.search(lower) else lower
         else:
             out, self.source = [], []
             for i, c in enumerate(text):
@@ -45,8 +48,19 @@ class Document:
                     self.source += [i] * len(piece)
             self.source.append(len(text))
             self.norm = "".join(out)
-        self.text_bytes = _byte_starts(text)
-        self.norm_bytes = self.text_bytes if self.norm is text else _byte_starts(self.norm)
+
+    def _bytes(self, which: str) -> list[int] | None:
+        if which not in self._starts:
+            self._starts[which] = _byte_starts(getattr(self, which))
+        return self._starts[which]
+
+    @property
+    def text_bytes(self) -> list[int] | None:
+        return self._bytes("text")
+
+    @property
+    def norm_bytes(self) -> list[int] | None:
+        return self._bytes("norm")
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """Original bytes of normalised characters [start, end)."""
