@@ -322,7 +322,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
 
     dealt = texts.select(*_keys(), "text").mapInPandas(contexts, "anchor long, place long, context binary, at binary")
     solved = dealt.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets))).applyInPandas(solve, "k1 long, k2 long, spans binary")
-    return scratch.write(solved, "spans").groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"))
+    # Written, so that the join with the texts is a plain one, whose heavy keys (copies) Spark can split.
+    return scratch.write(scratch.write(solved, "spans").groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans")), "grouped")
 
 
 def _merged(spans) -> list[tuple[int, int]]:
