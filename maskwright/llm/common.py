@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,10 +70,6 @@ def parts_for(spark: SparkSession, n_bytes: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // each) + 1)
 
 
-def crc_ids(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
-
-
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -41,7 +41,7 @@ class TextEncoder:
     #: Punctuation that the pre-tokenizers cut off a letter before it, whatever follows.
     AFTER_LETTER = ".,;:!?"
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

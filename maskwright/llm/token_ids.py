@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_ids, input_bytes, open_fs, parts_for, slices, tokenizer_file
+from .common import Scratch, input_bytes, open_fs, parts_for, slices, tokenizer_file
 from .encoding import encoder
 
 MAGIC = b"FRQ1"
@@ -148,12 +149,13 @@ def encode_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int | None
     return manifest
 
 
-def read_corpus(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (binary, unsigned 32-bit) of each document, from the files."""
+def read_corpus(spark: SparkSession, out: str, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids (binary, unsigned 32-bit) of each document, from the files;
+    with digest, ids_crc32 of the decoded ids in their place."""
     fs, root = open_fs(out)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         shards = json.loads(f.read())["shards"]
-    schema = "doc_id long, start long, n_tokens long, ids binary"
+    schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary")
     if not shards:
         return spark.createDataFrame([], schema)
 
@@ -163,7 +165,8 @@ def read_corpus(spark: SparkSession, out: str) -> DataFrame:
             id_of = np.frombuffer(f.read(), "<u4")
         for p in parts:
             for k in p["id"]:
-                yield from _read_shard(fs, f"{root}/{shards[k]['name']}", shards[k]["start"], id_of)
+                for part in _read_shard(fs, f"{root}/{shards[k]['name']}", shards[k]["start"], id_of):
+                    yield part.assign(ids_crc32=part["ids"].map(crc32)).drop(columns="ids") if digest else part
 
     return spark.range(0, len(shards), 1, len(shards)).mapInPandas(run, schema)
 
@@ -194,5 +197,4 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op1")
     out = scratch.path("corpus")
     encode_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("word_bpe_49k.json"), out, end_id=1)
-    crc = F.pandas_udf(lambda s: s.map(lambda x: crc_ids(np.frombuffer(x, "<u4"))), "long")
-    return read_corpus(spark, out).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return read_corpus(spark, out, digest=True)
