@@ -55,6 +55,12 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of these names renamed, and what brings their names back: an operator may then add its own."""
+    back = {f"_aside_{c}": c for c in df.columns if c in names}
+    return df.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def bucket_of(col: Column | str, n: int) -> Column:
     """crc32 of the value as text, modulo n; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")) % n

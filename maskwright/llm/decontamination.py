@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import mix64, set_aside, slices
 
 #: Benchmark text bytes that one set is made of; a larger benchmark is scanned for in several passes.
 SET_BYTES = 16 << 20
@@ -20,6 +20,8 @@ SET_BYTES = 16 << 20
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 HITS = "array<struct<at:int,end:int>>"
+#: Columns that find_contamination() adds.
+ADDED = ("n_words", "hits", "items")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -90,7 +92,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     """
     import pyarrow as pa
 
-    docs = docs.drop("n_words", "hits", "items")
+    docs = docs.drop(*ADDED)
     size = int(benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
     passes = size // set_bytes + 1
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast(HITS), "items": F.array().cast("array<string>")})
@@ -131,7 +133,8 @@ def n_hit() -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """docs without the contaminated ones, columns as they were."""
-    return find_contamination(docs, benchmark, window).where(~contaminated()).select(*docs.columns)
+    aside, back = set_aside(docs, ADDED)
+    return find_contamination(aside, benchmark, window).where(~contaminated()).select(*aside.columns).withColumnsRenamed(back)
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
@@ -148,8 +151,9 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Data
             raw = raw[: edge[2 * s["at"]]] + raw[edge[2 * s["end"] - 1] :]
         return raw.decode("utf-8", "surrogatepass")
 
-    found = find_contamination(docs, benchmark, window)
-    return found.withColumn("text", F.when(F.size("hits") > 0, cut("text", "hits")).otherwise(F.col("text"))).select(*docs.columns)
+    aside, back = set_aside(docs, ADDED)
+    found = find_contamination(aside, benchmark, window)
+    return found.withColumn("text", F.when(F.size("hits") > 0, cut("text", "hits")).otherwise(F.col("text"))).select(*aside.columns).withColumnsRenamed(back)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, slices
+from .common import bucket_of, set_aside, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -135,6 +135,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_recognised(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """docs whose language is recognised with a share of least or more; columns as they were."""
+    aside, back = set_aside(docs, ("lang_pred", "score"))
+    found = identify(aside, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*aside.columns).withColumnsRenamed(back)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = bucket_of("doc_id", 3) == 1

@@ -397,6 +397,17 @@ def test_paths_have_one_label(spark):
 # the pipeline
 
 
+def test_filters_keep_columns_of_any_name(spark):
+    names = "doc_id long, text string, lang string, score string, lang_pred string, hits string, items string, n_words string"
+    df = spark.createDataFrame([(i, t, "en", "s", "p", "h", "i", "w") for i, t in enumerate(["the house and the tree", "the river", None, "12"])], names)
+    bench = spark.createDataFrame([(1, "the river")], "item_id long, text string")
+    kept = language_id.keep_recognised(df, language_id.LanguageModel({"en": {"the": 5, "house": 2}, "de": {"der": 5}}))
+    assert kept.columns == df.columns and {(r["doc_id"], r["score"], r["lang_pred"]) for r in kept.collect()} == {(0, "s", "p"), (1, "s", "p")}
+    clean = decontamination.decontaminate(df, bench)
+    assert clean.columns == df.columns and {(r["doc_id"], r["hits"]) for r in clean.collect()} == {(0, "h"), (2, "h"), (3, "h")}
+    assert decontamination.remove_hits(df, bench).where("n_words = 'w'").count() == 4
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
