@@ -16,10 +16,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is recognised. Texts without a letter, and undecided ones, go; without
     any labelled row nothing can be recognised, and every document stays."""
     model = language_id.fit(docs)
-    if not model.langs:
-        return docs
-    found = language_id.identify(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    return language_id.keep_recognised(docs, model, SURE) if model.langs else docs
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
