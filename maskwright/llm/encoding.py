@@ -7,18 +7,19 @@ ids of the text are those of its pieces in turn. Pieces repeat, and their ids ar
 from __future__ import annotations
 
 import os
-import re
 from itertools import filterfalse
 
 import numpy as np
 
-_CONTROL_SPACE = re.compile("[\x1c-\x1f]")
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n |\n\n| $|\n$|<\\|")
+#: Control characters that str.split() takes for white space, and the tokenizers don't.
+_CONTROL_SPACE = "\x1c\x1d\x1e\x1f"
+#: What, beside single blanks and line feeds between words, makes a text be encoded as a whole.
+_OTHER_SPACE = (*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", "  ", " \n", "\n ", "\n\n", "<|")
 
 
 def _pieces_spaces(text: str) -> list[str] | None:
     """For tokenizers that drop white space. None: encode the text as a whole."""
-    if _CONTROL_SPACE.search(text):
+    if any(c in text for c in _CONTROL_SPACE):
         return None
     try:  # within Latin-1 a letter's lower case is one letter, whatever stands beside it
         text.encode("latin-1")
@@ -30,7 +31,7 @@ def _pieces_spaces(text: str) -> list[str] | None:
 def _pieces_bytes(text: str) -> list[str] | None:
     """For byte-level tokenizers whose pieces take one leading blank. A piece that starts with
     a line feed stands for itself; any other has a blank before it, but for the first."""
-    if _OTHER_SPACE.search(text):
+    if text[-1:] in (" ", "\n") or any(c in text for c in _OTHER_SPACE):
         return None
     return text.replace("\n", " \n").split(" ") if text else []
 
