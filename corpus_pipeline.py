@@ -25,8 +25,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that repeat; a document of which nothing is left goes."""
-    cut = suffix_dedup.remove_repeats(docs.withColumn("_full", F.octet_length("text")))
+    """Texts without the passages of over 50 words, and the strings of 400 bytes, that repeat; a document of which nothing is left goes."""
+    cut = suffix_dedup.remove_repeats(docs.withColumn("_full", F.octet_length("text")), words=suffix_dedup.PASSAGE)
     cut = cut.where((F.octet_length("text") > 0) | (F.coalesce("_full", F.lit(0)) == 0)).drop("_full")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
 

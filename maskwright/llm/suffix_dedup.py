@@ -11,6 +11,10 @@
    merged by refining their interleave, a stable sort by preceding symbol each time, which
    also yields common prefixes: intervals of suffixes that share the length less 8 bytes.
 4. In an interval, the up to eight bytes before and after decide about each window exactly.
+
+Passages of so many words are found beside that, as their bytes vary: each window of words has
+one anchor, the eight words in it whose hash is smallest; windows whose anchor occurs twice are
+counted by a 64-bit hash of their words, in the same sorted files.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ SEGMENT = 1 << 20
 SHARD_ITEMS = 4096
 PLACE = np.uint64((1 << 21) - 1)
 LATE = np.uint64(1 << 63)
+#: Words of a repeated passage at least (over 50), and of its anchor.
+PASSAGE, GRAM = 51, 8
 
 
 def _gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -344,29 +350,155 @@ def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return keyed.join(spans, (F.col("_j1") == F.col("_k1")) & (F.col("_j2") == F.col("_k2")), "left").drop("_j1", "_j2", "_k1", "_k2")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_BACK = np.uint64(pow(int(_STEP[1]), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base)]))
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words (between ASCII blanks) start and end, and their 64-bit hashes."""
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[b], [True]])))
+    start, end = edge[::2], edge[1::2]
+    size, out = end - start, np.zeros(len(start), np.uint64)
+    power = _powers(_STEP[0], int(size.max(initial=1)))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(start, np.arange(SEGMENT, len(b), SEGMENT)), [len(start)]]))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        first = np.cumsum(size[i:j]) - size[i:j]
+        off = np.arange(size[i:j].sum()) - np.repeat(first, size[i:j])
+        out[i:j] = np.add.reduceat(_BYTE[b[off + np.repeat(start[i:j], size[i:j])]] * power[off], first)
+    return start, end, mix64(out)
+
+
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every n words that follow one another."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_STEP[1], len(words)))])
+        return mix64((total[n:] - total[:-n]) * _powers(_BACK, len(words))[: len(words) - n + 1])
+
+
+def _passages(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words' starts and ends; by window of n words its hash and its anchor's; and the hash of each place that is an anchor."""
+    start, end, words = _words(raw)
+    if len(words) < n:
+        none = np.zeros(0, np.uint64)
+        return start, end, none, none, none
+    gram, of, places = _runs(words, GRAM), [], []
+    for at in range(0, len(words) - n + 1, SEGMENT):
+        h = gram[at : at + SEGMENT + n - GRAM]
+        place = (_sliding_min(h & ~PLACE | np.arange(len(h), dtype=np.uint64), n - GRAM + 1) & PLACE).astype(np.int64)
+        of.append(h[place])
+        places.append(place + at)
+    return start, end, _runs(words, n), np.concatenate(of), gram[np.unique(np.concatenate(places))]
+
+
+def _among(have: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Which hashes stand in the sorted shards."""
+    shard, out = shard_of_hash(h, len(have)), np.zeros(len(h), bool)
+    for s in np.unique(shard):
+        if len(have[s]):
+            mine = np.flatnonzero(shard == s)
+            out[mine] = have[s][np.minimum(np.searchsorted(have[s], h[mine]), len(have[s]) - 1)] == h[mine]
+    return out
+
+
+def _met_again(texts: DataFrame, hashes_of, n: int, root: str) -> list:
+    """Files, by leading bits, of the hashes that hashes_of finds twice or more in all texts."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, got, size = hashes_of(), [], 0
+        for p in parts:
+            for t in p["text"]:
+                got.append(find(t.encode("utf-8", "surrogatepass")))
+                size += len(got[-1])
+                if size > 1_000_000:
+                    k, c = np.unique(np.concatenate(got), return_counts=True)
+                    yield _dealt(k, c.astype("<i8"), shard_of_hash(k, n))
+                    got, size = [], 0
+        if size:
+            k, c = np.unique(np.concatenate(got), return_counts=True)
+            yield _dealt(k, c.astype("<i8"), shard_of_hash(k, n))
+
+    def merge(p: pd.DataFrame) -> pd.DataFrame:
+        k, c = _summed([np.frombuffer(x, "<u8") for x in p["k"]], [np.frombuffer(x, "<i8") for x in p["c"]])
+        return pd.DataFrame({"shard": p["shard"].iloc[:1], "uri": [_write(root, k[c > 1])]})
+
+    uris: list = [None] * n
+    for r in texts.mapInPandas(count, BLOBS).groupBy("shard").applyInPandas(merge, "shard long, uri string").collect():
+        uris[r["shard"]] = r["uri"]
+    return uris
+
+
+def passage_finder(docs: DataFrame, scratch: Scratch, n: int = PASSAGE):
+    """What makes, in a worker, a function of a text's bytes: [start, end) of its n words that also stand elsewhere.
+
+    Words are compared byte by byte, the blanks between them aren't; the blanks after a passage go with it.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= 2 * n - 1)
+    shards = 1 << max(0, int(np.ceil(np.log2(max(1, input_bytes(texts)) / SHARD_BYTES))))
+    anchored = _met_again(texts, lambda: lambda raw: _passages(raw, n)[4], shards, scratch.path("word-anchors"))
+
+    def candidates():
+        have = [_map(u, "<u8") for u in anchored]
+
+        def find(raw: bytes) -> np.ndarray:
+            _, _, windows, of, _ = _passages(raw, n)
+            return windows[_among(have, of)]
+
+        return find
+
+    repeated = _met_again(texts, candidates, shards, scratch.path("passages"))
+
+    def finder():
+        have, again = [_map(u, "<u8") for u in anchored], [_map(u, "<u8") for u in repeated]
+
+        def find(raw: bytes) -> list[tuple[int, int]]:
+            start, _, windows, of, _ = _passages(raw, n)
+            at = np.flatnonzero(_among(have, of))
+            at = at[_among(again, windows[at])]
+            after = np.concatenate([start, [len(raw)]])
+            return list(zip(start[at].tolist(), after[at + n].tolist(), strict=True))
+
+        return find
+
+    return finder
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """docs with every repeated string of length bytes cut from text; columns as they were.
 
     A string counts if it also starts anywhere else: in another row, an equal one too, or in
-    the same text. Texts are UTF-8; a character that is only partly covered stays. Null and
-    shorter texts stay as they are. Empty input: no rows.
+    the same text. With words, so many words that also stand elsewhere are cut too, however
+    few bytes they take. Texts are UTF-8; a character that is only partly covered stays. Null
+    and shorter texts stay as they are. Empty input: no rows.
     """
+    finder = passage_finder(docs, Scratch(docs.sparkSession, "passages"), words) if words else lambda: lambda raw: []
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(texts, spans, strict=True):
-            if t is None or s is None:
-                out.append(t)
-                continue
-            raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-            keep = np.ones(len(raw), bool)
-            for a, b in _merged(s):
-                keep[a:b] = False
-            char = np.cumsum((raw & 0xC0) != 0x80) - 1
-            keep = (np.bincount(char, keep) > 0)[char]
-            out.append(raw[keep].tobytes().decode("utf-8", "surrogatepass"))
-        return pd.Series(out)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        passages = finder()
+        for texts, spans in batches:
+            out = []
+            for t, s in zip(texts, spans, strict=True):
+                raw = (t or "").encode("utf-8", "surrogatepass")
+                cuts = _merged(s) + passages(raw)
+                if t is None or not cuts:
+                    out.append(t)
+                    continue
+                raw = np.frombuffer(raw, np.uint8)
+                keep = np.ones(len(raw), bool)
+                for a, b in cuts:
+                    keep[a:b] = False
+                char = np.cumsum((raw & 0xC0) != 0x80) - 1
+                keep = (np.bincount(char, keep) > 0)[char]
+                out.append(raw[keep].tobytes().decode("utf-8", "surrogatepass"))
+            yield pd.Series(out, dtype=object)
 
     found = with_spans(docs, length)
     return found.withColumn("text", cut(F.col("text").cast("string"), "_spans")).select(*docs.columns)

@@ -202,6 +202,31 @@ def test_cut_texts_stay_text(spark):
     assert got[1] == "xy" and got[2] == "" and got[3] is None and got[4] == "short"
 
 
+def test_stage_cuts_every_passage_of_over_50_words(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"u{rng.getrandbits(40)}" for _ in range(n))
+    planted = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n)) for n in (51, 52, 60, 70)] + [" ".join(rng.choice("abcdefgh") for _ in range(51))]
+    fifty = " ".join(rng.choice(WORDS) for _ in range(50))
+    rows = []
+    for k, p in enumerate(planted):
+        assert len(p) < 400
+        rows += [(10 * k, f"{fresh(30)} {p} {fresh(9)}"), (10 * k + 1, f"{p} {fresh(20)}"), (10 * k + 2, f"{fresh(20)}\n" + p.replace(" ", "\n", 3))]
+    rows += [(100, f"{fresh(60)} {fifty} {fresh(60)}"), (101, f"{fresh(60)} {fifty} {fresh(60)}"), (102, f"{fresh(5)} {planted[0]}"), (103, planted[0]), (104, None), (105, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    windows = collections.Counter(tuple(w[i : i + 51]) for _, t in rows for w in [(t or "").split()] for i in range(len(w) - 50))
+    got = {r["doc_id"]: r["text"] for r in c.cut_repeated_strings(spark, df, "").collect()}
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {x for a in range(len(w) - 50) if windows[tuple(w[a : a + 51])] > 1 for x in range(a, a + 51)}
+        if i == 103:
+            assert i not in got
+        else:
+            assert (got[i] or "").split() == [x for k, x in enumerate(w) if k not in gone]
+    assert got[100] == rows[-6][1] and c.cut_repeated_strings(spark, df.limit(0), "").count() == 0
+
+
 # 6: toxicity
 
 
