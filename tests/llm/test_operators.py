@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from maskwright.llm import components, decontamination, encoding, language_id, lm_scoring, near_dedup, packing, suffix_dedup, token_ids, toxicity, vector_search
+from maskwright.llm import components, decontamination, encoding, language_id, lm_scoring, near_dedup, packing, quality, suffix_dedup, token_ids, toxicity, vector_search
 from maskwright.llm.common import Scratch, tokenizer_file
 
 DOC = "doc_id long, text string, score double, n long, text_bytes string"
@@ -147,6 +147,29 @@ def test_unseen_words_fall_back_and_memory_is_bounded():
     assert m.predict(text) == pytest.approx(big.predict(text)) or m.predict(text)[0] == big.predict(text)[0]
 
 
+# 4: quality
+
+
+def test_quality_cuts_are_over_all_trusted_documents(spark):
+    """Quantiles over every trusted row, by language, with a small one among them; text of one word goes."""
+    rng = random.Random(6)
+    good = [(i, "de" if i % 50 == 0 else "en", prose(rng, rng.randint(30, 90))) for i in range(1000)]
+    bad = [(1000 + i, "en", " ".join([rng.choice(WORDS)] * 60)) for i in range(20)] + [(1020 + i, "en", " ".join(f"{rng.getrandbits(30):x}" for _ in range(40))) for i in range(20)]
+    docs = spark.createDataFrame([*good, *bad, (2000, "fr", prose(rng, 40)), (2001, None, None)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i in range(1040)], "doc_id long, quality int")
+    models, cuts = quality.fit(docs, labels, sample=300)
+    assert all(100 < m.n_docs < 200 for m in models)
+    got = {r["doc_id"]: r for r in quality.judge(docs, models, cuts).collect()}
+    for lang in ("en", "de", None):
+        mine = [got[i] for i, x, _ in good if lang in (None, x)]
+        for side, name in enumerate(("perplexity", "repeats")):
+            assert cuts[lang][side] == pytest.approx(sorted(r[name] for r in mine)[math.ceil(0.995 * len(mine)) - 1])
+    assert not any(got[i]["kept"] for i, *_ in bad) and sum(got[i]["kept"] for i, *_ in good) >= 0.985 * len(good)
+    assert got[2000]["cut"] == cuts[None][0]
+    models, cuts = quality.fit(docs, labels.limit(0))
+    assert cuts == {} and all(r["kept"] for r in quality.judge(docs, models, cuts).collect())
+
+
 # 5: suffix dedup
 
 
