@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,7 +58,10 @@ def open_fs(uri: str):
 
 def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """df with columns of these names renamed, and what brings their names back: an operator may then add its own."""
-    back = {f"_aside_{c}": c for c in df.columns if c in names}
+    mark = "_aside_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark = "_" + mark
+    back = {mark + c: c for c in df.columns if c in names}
     return df.withColumnsRenamed({c: k for k, c in back.items()}), back
 
 
@@ -117,6 +121,35 @@ class WordHashes:
         return np.array(got, dtype=np.uint64)
 
 
+_KEPT: dict = {}
+
+
+def keep(name, make: Callable):
+    """What make() returns, remembered for the worker process's later tasks under name.
+
+    A process remembers one thing at a time: what another operator (or another model) left in
+    it is given back to the system first, so that stages don't add up in an executor's memory.
+    """
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Drops what this process remembers, and returns freed memory to the system."""
+    import ctypes
+    import gc
+
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch, rows: int = 256):
     """An Arrow batch in small pieces: what is expanded in Python at once stays bounded."""
     for at in range(0, batch.num_rows, rows):

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, set_aside, slices
+from .common import forget, mix64, set_aside, slices
 
 #: Benchmark text bytes that one set is made of; a larger benchmark is scanned for in several passes.
 SET_BYTES = 16 << 20
@@ -105,6 +106,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         kept = [i for i, c in enumerate(out.columns[:-3]) if c in schema.names]
 
         def run(batches: Iterator[pa.RecordBatch], windows=windows, kept=kept, names=schema.names) -> Iterator[pa.RecordBatch]:
+            forget()
             seen = windows.value
             for whole in batches:
                 for b in slices(whole):
@@ -140,9 +142,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """docs whose texts have lost every hit stretch, from its first word's start to its last word's end."""
 
-    @F.udf("string")
-    def cut(text, hits):
-        if not text or not hits:
+    def without(text: str | None, hits) -> str | None:
+        if not text or not len(hits):
             return text
         raw = text.encode("utf-8", "surrogatepass")
         word = np.concatenate([[False], np.frombuffer(raw.translate(TABLE), np.uint8) != 32, [False]])
@@ -151,6 +152,10 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Data
             raw = raw[: edge[2 * s["at"]]] + raw[edge[2 * s["end"] - 1] :]
         return raw.decode("utf-8", "surrogatepass")
 
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([without(t, list(h)) for t, h in zip(texts, hits, strict=True)], dtype=object)
+
     aside, back = set_aside(docs, ADDED)
     found = find_contamination(aside, benchmark, window)
     return found.withColumn("text", F.when(F.size("hits") > 0, cut("text", "hits")).otherwise(F.col("text"))).select(*aside.columns).withColumnsRenamed(back)

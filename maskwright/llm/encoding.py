@@ -11,6 +11,8 @@ from itertools import filterfalse
 
 import numpy as np
 
+from .common import keep
+
 #: Control characters that str.split() takes for white space, and the tokenizers don't.
 _CONTROL_SPACE = "\x1c\x1d\x1e\x1f"
 #: What, beside single blanks and line feeds between words, makes a text be encoded as a whole.
@@ -63,10 +65,10 @@ class TextEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Of words of letters, each after a blank: one call for all, cut at the tokens that begin or end a word."""
+        """Of words of Latin-1 letters, each after a blank: one call for all, cut at the tokens that begin or end a word."""
         if not words:
             return []
-        ids = np.array(self.tok.encode(self.lead + " ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.tok.encode_batch_fast([self.lead + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         at = np.flatnonzero(self.edge[ids]) + (not self.lead)
         ends = [*at[1:].tolist(), len(ids)] if self.lead else at.tolist()
         starts = at.tolist() if self.lead else [0, *ends[:-1]]
@@ -90,7 +92,8 @@ class TextEncoder:
                 new[p] = v
                 continue
             base = p.rstrip(self.AFTER_LETTER)
-            if base and base is not p and base[-1].isalpha():
+            # Beyond Latin-1 a letter may become a letter and a mark, to which what follows clings.
+            if base and base is not p and base[-1] <= "\xff" and base[-1].isalpha():
                 ended.append((p, base))
                 if base not in new and (v := old.get(base)) is None:
                     fresh.add(base)
@@ -98,10 +101,11 @@ class TextEncoder:
                     new[base] = v
             else:
                 fresh.add(p)
-        words = [p for p in fresh if p.isalpha()]
+        words, rest = [], []
+        for p in fresh:
+            (words if p.isalpha() and (p.isascii() or max(p) <= "\xff") else rest).append(p)
         for at in range(0, len(words), 5000):
             new.update(zip(words[at : at + 5000], self._encode_words(words[at : at + 5000]), strict=True))
-        rest = [p for p in fresh if not p.isalpha()]
         new.update(zip(rest, self._encode([p if p[0] == "\n" else self.lead + p for p in rest]), strict=True))
         marks = list({p[len(b) :] for p, b in ended})
         mark = dict(zip(marks, self._encode(marks), strict=True))
@@ -122,11 +126,6 @@ class TextEncoder:
         return [first[t] if c is None else first[h] + b"".join(map(get, c)) for t, c, h in zip(texts, cut, heads, strict=True)]
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
 def encoder(path: str) -> TextEncoder:
     """The process's encoder for a tokenizer file: a worker's later tasks find the pieces of its earlier ones."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    return keep(("encoder", path), lambda: TextEncoder(path))

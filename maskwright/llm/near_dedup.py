@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mix64, slices
+from .common import Scratch, WordHashes, keep, mix64, slices
 from .components import connected_components
 
 ROWS = 4
@@ -78,7 +78,7 @@ def _sets(docs: DataFrame, k: int, bands: int, full: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes, sign = WordHashes(), Signer(bands)
+        hashes, sign = keep("word hashes", WordHashes), Signer(bands)
         for whole in batches:
             for b in slices(whole):
                 n, h1, h2, more = [], [], [], []
