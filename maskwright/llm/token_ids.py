@@ -4,29 +4,32 @@ File format, one file a shard: the magic ``FRQ1``, then for each document its co
 bytes followed by its data bytes, then a footer of little-endian arrays, the footer's
 length (8 bytes) and the magic again. A value is the frequency rank of a token (0: the
 most frequent), written in 1 to 4 bytes; a control byte holds the lengths of four
-values, less one, in two bits each. ``ranks.u32`` maps ranks to ids; ``manifest.json``
+values, less one, in two bits each. ``ranks.u32`` maps ranks to ids; the table ``manifest``
 lists the shards in ascending doc_id order with the position of their first id.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, input_bytes, open_fs, parts_for, slices, tokenizer_file
-from .encoding import encoder
+from .encoding import TextEncoder, encoder
 
 MAGIC = b"FRQ1"
 #: Text bytes a shard holds, about.
 SHARD_BYTES = 64 << 20
+#: Shards whose positions are summed in one task.
+RUN = 4096
 #: For each control byte, the lengths of its four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -81,8 +84,8 @@ def token_counts(ids: DataFrame, vocab_size: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(vocab_size, np.int64)
         for p in parts:
-            for x in p["ids"]:
-                total += np.bincount(np.frombuffer(x, width), minlength=vocab_size)
+            for at in range(0, len(p), 256):
+                total += np.bincount(np.frombuffer(b"".join(p["ids"].iloc[at : at + 256]), width), minlength=vocab_size)
         token = np.flatnonzero(total)
         yield pd.DataFrame({"token": token, "n": total[token]})
 
@@ -90,7 +93,7 @@ def token_counts(ids: DataFrame, vocab_size: int) -> DataFrame:
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = 1) -> dict:
-    """Writes the ids of all documents under the URI out and returns the manifest.
+    """Writes the ids of all documents under the URI out and returns how many shards, ids and ranks there are.
 
     docs has doc_id and text; other columns are ignored. A null or empty text gives just
     the end id. Documents stand in ascending doc_id order, a null doc_id first; equal
@@ -98,7 +101,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int | None
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-ids")
-    vocab = max(encoder(tokenizer).vocab_size, (end_id or 0) + 1)
+    vocab = max(TextEncoder(tokenizer).vocab_size, (end_id or 0) + 1)
     ids = scratch.write(_tokenise(docs, tokenizer, end_id), "ids")
     # A row for each token of the vocabulary at most comes to the driver.
     ranked = [r["token"] for r in token_counts(ids, vocab).orderBy(F.desc("n"), "token").collect()]
@@ -134,41 +137,36 @@ def encode_corpus(docs: DataFrame, tokenizer: str, out: str, end_id: int | None
     n_shards = parts_for(spark, input_bytes(docs), SHARD_BYTES)
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), "ids"]
     shards = ids.repartitionByRange(n_shards, *by[:2]).sortWithinPartitions(*by)
-    # One row a shard comes to the driver.
-    rows = sorted((r.asDict() for r in shards.mapInPandas(write, "shard long, name string, n_docs long, n_ids long").collect()), key=lambda r: r["shard"])
-    start = 0
-    for r in rows:
-        r["start"], start = start, start + r["n_ids"]
-    manifest = {"shards": rows, "n_ids": start, "n_ranks": len(ranked)}
+    made = scratch.write(shards.mapInPandas(write, "shard long, name string, n_docs long, n_ids long").withColumn("run", F.floor(F.col("shard") / RUN)), "shards")
+    # A row for each run of shards comes to the driver.
+    runs = made.groupBy("run").agg(F.sum("n_ids").alias("n"), F.count("*").alias("shards")).orderBy("run").collect()
+    starts = spark.createDataFrame([(r["run"], at) for r, at in zip(runs, accumulate((r["n"] for r in runs), initial=0), strict=False)], "run long, before long")
+    inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("run").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    made.join(F.broadcast(starts), "run").withColumn("start", F.col("before") + inside).drop("run", "before").write.mode("overwrite").parquet(f"{out}/manifest")
     fs, root = open_fs(out)
-    fs.create_dir(root, recursive=True)
-    for name, content in (("ranks.u32", np.array(ranked, "<u4").tobytes()), ("manifest.json", json.dumps(manifest).encode())):
-        with fs.open_output_stream(f"{root}/{name}") as f:
-            f.write(content)
+    with fs.open_output_stream(f"{root}/ranks.u32") as f:
+        f.write(np.array(ranked, "<u4").tobytes())
+    scratch.drop("shards")
     scratch.drop("ids")
-    return manifest
+    return {"n_shards": sum(r["shards"] for r in runs), "n_ids": sum(r["n"] for r in runs), "n_ranks": len(ranked)}
 
 
 def read_corpus(spark: SparkSession, out: str, digest: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids (binary, unsigned 32-bit) of each document, from the files;
     with digest, ids_crc32 of the decoded ids in their place."""
-    fs, root = open_fs(out)
-    with fs.open_input_stream(f"{root}/manifest.json") as f:
-        shards = json.loads(f.read())["shards"]
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary")
-    if not shards:
-        return spark.createDataFrame([], schema)
+    shards = spark.read.schema("name string, start long").parquet(f"{out}/manifest")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = open_fs(out)
         with fs.open_input_stream(f"{root}/ranks.u32") as f:
             id_of = np.frombuffer(f.read(), "<u4")
         for p in parts:
-            for k in p["id"]:
-                for part in _read_shard(fs, f"{root}/{shards[k]['name']}", shards[k]["start"], id_of):
+            for name, start in zip(p["name"], p["start"], strict=True):
+                for part in _read_shard(fs, f"{root}/{name}", start, id_of):
                     yield part.assign(ids_crc32=part["ids"].map(crc32)).drop(columns="ids") if digest else part
 
-    return spark.range(0, len(shards), 1, len(shards)).mapInPandas(run, schema)
+    return shards.repartition(min(max(1, shards.count()), 100_000)).mapInPandas(run, schema)
 
 
 def _read_shard(fs, path: str, start: int, id_of: np.ndarray, rows: int = 2000) -> Iterator[pd.DataFrame]:
