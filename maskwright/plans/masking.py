@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import validators as V
 from ..functions.spans import found_in
-from ..functions.text import normalize_col
+from ..functions.text import Document, normalize_col
 from ..operators import json_paths, masking
-from ..operators import patterns as P
-from ..operators.detectors import Lists
+from ..operators.detectors import DETECTORS, Lists
 from ..operators.rules import Policy
 
 ENTITIES = "array<struct<type:string,start:long,end:long,masked_start:long,masked_end:long,replacement:string,score:double,source:string>>"
@@ -75,6 +74,14 @@ def leaks(df: DataFrame, policy: Policy, text: str = "masked", lists: Lists | No
     return seen.select(F.explode("types").alias("pd_type")).groupBy("pd_type").agg(F.count("*").alias("leaks"))
 
 
+def summarise(df: DataFrame) -> DataFrame:
+    """df with types (how many entities of each type, by type) and spans (type, start and end, by place), of its entities."""
+    names = F.array_sort(F.array_distinct(F.col("entities.type")))
+    count = F.transform(names, lambda t: F.struct(t.alias("type"), F.size(F.filter("entities", lambda e: e["type"] == t)).alias("n")))
+    spans = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["type"].alias("type")))
+    return df.withColumns({"types": F.map_from_entries(count), "spans": F.array_sort(spans)})
+
+
 def explode_entities(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode("entities").alias("e")).select(*keep, "e.*")
 
@@ -118,28 +125,70 @@ def extract_json(df: DataFrame, path: str, body: str = "body") -> DataFrame:
     return _with(df, {"strings": "array<string>"}, lambda r: (json_paths.extract_strings(r[0], path) if r[0] else [],), [body])
 
 
-def mask_batch(df: DataFrame, policy: Policy, secret: bytes) -> DataFrame:
-    """request_id and results, of requests with texts: each text is a session of its own, order kept."""
-    items = df.select("request_id", F.posexplode("texts").alias("index", "text"))
-    masked = mask_documents(items, policy, secret).select("request_id", F.struct("index", "masked", F.size("entities").alias("entities")).alias("r"))
-    return masked.groupBy("request_id").agg(F.array_sort(F.collect_list("r")).alias("results"))
+def mask_batch(df: DataFrame, policy: Policy, secret: bytes, lists: Lists | None = None) -> DataFrame:
+    """request_id, results and error of each request with texts, in one pass and without a shuffle.
+
+    Each text is a session of its own, order kept; a null one has no result, but the error
+    bad_request, and doesn't touch the others. Without texts (null) the request is a
+    bad_request; with none, results are empty. Where there is a system_id, a request without
+    one is unauthorized. No request is lost.
+    """
+    lists = lists or Lists()
+    if "system_id" not in df.columns:
+        df = df.withColumn("system_id", F.lit(""))
+
+    def item(index: int, text: str | None) -> dict:
+        if text is None:
+            return {"index": index, "masked": None, "entities": 0, "error": "bad_request"}
+        m = masking.mask_text(text, policy, lists, secret)
+        return {"index": index, "masked": m.text, "entities": len(m.entities), "error": None}
+
+    def one(row: tuple) -> tuple:
+        if row[1] is None:
+            return None, "unauthorized"
+        if row[0] is None:
+            return None, "bad_request"
+        return [item(i, t) for i, t in enumerate(row[0])], None
+
+    kinds = {"results": "array<struct<index:int,masked:string,entities:int,error:string>>", "error": "string"}
+    return _with(df.select("request_id", "texts", "system_id"), kinds, one, ["texts", "system_id"]).select("request_id", "results", "error")
+
+
+#: Texts whose characters keep their bytes when normalised: ASCII, and letters of Latin-1 and of Russian.
+_UNFOLDED = r"^[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u0401\u0410-\u044F\u0451]*$"
+
+
+def _spans(text: Column, name: str, nth: int, keep=None) -> Column:
+    """array<struct<start, end, value>>: bytes of the original, and the normalised match.
+
+    The JVM does it where nothing changes places under normalisation; other texts go to the detector.
+    """
+    pattern = DETECTORS[name][nth][1]
+    plain = F.coalesce(text.rlike(_UNFOLDED), F.lit(True))
+
+    @F.pandas_udf("array<struct<start:long,end:long,value:string>>")
+    def folded(texts: pd.Series) -> pd.Series:
+        docs = [None if t is None else Document(t) for t in texts]
+        return pd.Series([[] if d is None else [{"start": c.start, "end": c.end, "value": d.norm[c.n_start : c.n_end]} for c in pattern(d, Lists())] for d in docs])
+
+    return F.when(plain, found_in(normalize_col(text), pattern.regex, pattern.gate, keep)).otherwise(folded(F.when(~plain, text)))
 
 
 def email_spans(text: Column) -> Column:
-    return found_in(normalize_col(text), P.EMAIL, "@")
+    return _spans(text, "email", 0)
 
 
 def card_spans(text: Column) -> Column:
-    return found_in(normalize_col(text), P.CARD, "[0-9]", V.luhn_col)
+    return _spans(text, "card_number", 0, V.luhn_col)
 
 
 def phone_spans(text: Column) -> Column:
     """International numbers."""
-    return found_in(normalize_col(text), P.PHONE_INTL, r"\+[0-9]", lambda v: F.length(V.digits_col(v)).between(8, 15))
+    return _spans(text, "phone", 1, lambda v: F.length(V.digits_col(v)).between(8, 15))
 
 
 def date_spans(text: Column) -> Column:
-    return found_in(normalize_col(text), P.DATE_NUMERIC, "[0-9]", V.date_col)
+    return _spans(text, "date", 0, V.date_col)
 
 
 def recognise(df: DataFrame, engine: Callable[[list[str]], list[list[dict]]], text: str = "text") -> DataFrame:

@@ -27,15 +27,43 @@ def resolve_policies(requests: DataFrame, cfg: dict) -> DataFrame:
 
 
 def match_routes(requests: DataFrame, cfg: dict) -> DataFrame:
-    """requests (method, path) with route_id and action of the first route that fits, by whole path or prefix."""
-    rows = [(i, r["id"], r.get("action", "mask"), r["match"]["method"], r["match"].get("path"), r["match"].get("path_prefix")) for i, r in enumerate(cfg["routes"])]
-    routes = F.broadcast(requests.sparkSession.createDataFrame(rows, "ord int, route string, act string, m string, p string, pre string"))
-    keyed = requests.withColumn("_id", F.monotonically_increasing_id())
-    fits = (F.col("method") == F.col("m")) & ((F.col("path") == F.col("p")) | F.col("path").startswith(F.col("pre")))
-    hits = keyed.join(routes, fits, "left")
-    first = F.min_by(F.struct("route", "act"), "ord")
-    cols = [F.first(c).alias(c) for c in requests.columns]
-    return hits.groupBy("_id").agg(*cols, first.alias("r")).select(*requests.columns, F.col("r.route").alias("route_id"), F.col("r.act").alias("action"))
+    """requests (method, path) with route_id and action of the first route that fits, by whole path or prefix.
+
+    The routes of a configuration are few: they become one expression, and no request moves.
+    """
+    found = F.lit(None).cast("struct<route:string,action:string>")
+    for r in reversed(cfg["routes"]):
+        m = r["match"]
+        fits = F.lit(False)
+        if m.get("path") is not None:
+            fits = fits | (F.col("path") == m["path"])
+        if m.get("path_prefix") is not None:
+            fits = fits | F.col("path").startswith(m["path_prefix"])
+        found = F.when((F.col("method") == m["method"]) & fits, F.struct(F.lit(r["id"]).alias("route"), F.lit(r.get("action", "mask")).alias("action"))).otherwise(found)
+    kept = [c for c in requests.columns if c not in ("route_id", "action")]
+    return requests.withColumn("_r", found).select(*kept, F.col("_r.route").alias("route_id"), F.col("_r.action").alias("action"))
+
+
+def apply_actions(requests: DataFrame) -> DataFrame:
+    """requests (text, action) with step (mask, pass), outgoing text and error: a blocked request, and one
+    without a route, go no further; a bypassed one goes out as it is; the text of the rest is yet to be masked."""
+    error = F.when(F.col("action").isNull(), "no_route").when(F.col("action") == "block", "blocked")
+    step = F.when(F.col("action") == "bypass", "pass").when(F.col("action") == "mask", "mask")
+    return requests.withColumns({"step": step, "outgoing": F.when(F.col("action") == "bypass", F.col("text")), "error": error})
+
+
+def swapped(requests: DataFrame, versions: list[tuple[int, dict]]) -> list[DataFrame]:
+    """requests (ts long) dealt out by the configuration in force: (valid from, configuration), ascending.
+
+    Each part is resolved by its own configuration, so a change takes effect between requests
+    and never within one; requests before the first version have no policy.
+    """
+    out = []
+    for i, (since, cfg) in enumerate(versions):
+        until = versions[i + 1][0] if i + 1 < len(versions) else None
+        mine = F.col("ts") >= since
+        out.append(resolve_policies(requests.where(mine if until is None else mine & (F.col("ts") < until)), cfg))
+    return out
 
 
 def authenticate(requests: DataFrame, systems: DataFrame, default: str | None = None) -> DataFrame:

@@ -11,6 +11,16 @@ def entity_counts(entities: DataFrame) -> DataFrame:
     return entities.groupBy(F.col("type").alias("pd_type"), "source").agg(F.count("*").alias("entities"))
 
 
+def leak_counts(leaks: DataFrame) -> DataFrame:
+    """How often each type was still seen after masking, of masking.leaks() of one table or of several."""
+    return leaks.groupBy("pd_type").agg(F.sum("leaks").alias("leaks"))
+
+
+def degraded_counts(requests: DataFrame) -> DataFrame:
+    """Requests (degraded, reason) that were answered with less than was asked, by reason."""
+    return requests.where("degraded").groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("requests"))
+
+
 def request_counters(requests: DataFrame) -> DataFrame:
     """Requests by system, route, operation and status, with tokens and the exact 50th, 95th and 99th percentile of latency."""
     p = lambda q: F.percentile("latency_ms", F.lit(q))

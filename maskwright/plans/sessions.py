@@ -71,10 +71,22 @@ def unseal(df: DataFrame, master: bytes) -> DataFrame:
     return keyed.withColumn("mapping", F.from_json(plain, f"entries {ENTRIES}, original string, masked string")).drop("_key")
 
 
-def vault_latest(puts: DataFrame, now: Column, ttl_seconds: int = 900) -> DataFrame:
-    """The vault as a table: of each (system_id, session_id) the last mapping put, unless it is too old or deleted."""
+def vault_latest(puts: DataFrame, now: Column, ttl_seconds: int = 900, capacity: int | None = None) -> DataFrame:
+    """The vault as a table: of each (system_id, session_id) the last mapping put, unless it is too old or deleted.
+
+    With a capacity, only so many sessions stay, those put last (ties by system and session).
+    """
     last = puts.groupBy("system_id", "session_id").agg(F.max_by(F.struct("mapping", "ts"), "ts").alias("v"))
-    return last.where(F.col("v.mapping").isNotNull() & (F.col("v.ts") + F.make_interval(secs=F.lit(ttl_seconds)) > now)).select("system_id", "session_id", "v.mapping")
+    live = last.where(F.col("v.mapping").isNotNull() & (F.col("v.ts") + F.make_interval(secs=F.lit(ttl_seconds)) > now))
+    if capacity is not None:
+        live = live.orderBy(F.desc("v.ts"), "system_id", "session_id").limit(capacity)
+    return live.select("system_id", "session_id", "v.mapping")
+
+
+def deletions(answers: DataFrame) -> DataFrame:
+    """Puts (system_id, session_id, ts, null mapping) that delete the sessions whose demasking has succeeded."""
+    done = answers.where((F.col("operation") == "demask") & F.col("error").isNull())
+    return done.groupBy("system_id", "session_id").agg(F.max("ts").alias("ts")).withColumn("mapping", F.lit(None).cast("string"))
 
 
 def rate_limit(requests: DataFrame, rps: int) -> DataFrame:
@@ -82,7 +94,9 @@ def rate_limit(requests: DataFrame, rps: int) -> DataFrame:
 
     A bucket holds rps tokens, full at first, and gains rps a second. 0: no limit. Equal times
     stand in the order of request_id. The fold needs a system's requests in order: rows reach
-    it sorted, as an iterator of batches, so a large system takes time, but no memory.
+    it sorted, as an iterator of batches, so a large system takes time, but no memory. A system is
+    one task, as each answer depends on the one before; a limit by client splits it: give the
+    system and the client, as one text, for system_id.
     """
     if rps == 0:
         return requests.withColumns({"allowed": F.lit(True), "wait_s": F.lit(0.0)})
@@ -110,7 +124,8 @@ def breaker(calls: DataFrame, window: int = 20, ratio: float = 0.5, open_seconds
 
     Each window calls that went through are judged together; if the share that failed reaches
     ratio, the breaker opens. After open_seconds it is half open and lets all pass; it never
-    closes again, and opens anew by the same rule.
+    closes again, and opens anew by the same rule. A service is one task, as each state depends
+    on the one before; its rows pass as a sorted stream.
     """
 
     def fold(parts):

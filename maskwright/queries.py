@@ -246,13 +246,24 @@ def combination_rules(spark, d):
     return ruled.groupBy("doc_id", "pd_type", "start").agg(F.bool_or(F.col("needs").isNull() | fits).alias("ok")).where("ok").drop("ok")
 
 
+def _folded(spark, rows, policy: Policy):
+    """rows (doc_id, pd_type, start) that the engine's rules leave, document by document."""
+    of = spark.createDataFrame(rows, "doc_id long, pd_type string, start long").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "pd_type"))).alias("found"))
+    one = lambda r: ([{"pd_type": c.pd_type, "start": c.start} for c in combine([Candidate(x["pd_type"], x["start"], x["start"] + 3, 0.9, "regex", "x") for x in r[0]], policy)],)
+    return M._with(of, {"kept": "array<struct<pd_type:string,start:long>>"}, one, ["found"]).select("doc_id", F.explode("kept").alias("k")).select("doc_id", "k.pd_type", "k.start")
+
+
 def combination_fold(spark, d):
     """The same rules as the engine applies them, document by document."""
-    policy = Policy(types=ANY.types, rules={"PIN": Rule(("CARD_NUMBER",)), "CVV": Rule(("CARD_NUMBER",), scope="window", window=200)})
-    out = []
-    for k in sorted({r[0] for r in COMBINED}):
-        out += [(k, c.pd_type, c.start) for c in combine([Candidate(t, a, a + 3, 0.9, "regex", "x") for i, t, a in COMBINED if i == k], policy)]
-    return spark.createDataFrame(out, "doc_id long, pd_type string, start long")
+    return _folded(spark, COMBINED, Policy(types=ANY.types, rules={"PIN": Rule(("CARD_NUMBER",)), "CVV": Rule(("CARD_NUMBER",), scope="window", window=200)}))
+
+
+FEW = ((0, "EMAIL", 0), (1, "EMAIL", 0), (1, "PHONE", 40), (2, "CARD_NUMBER", 5), (2, "CARD_NUMBER", 50), (3, "EMAIL", 0), (3, "EMAIL", 30))
+
+
+def distinct_types_fold(spark, d):
+    """Fewer than two types in a document: only those always masked stay."""
+    return _folded(spark, FEW, Policy(types=ANY.types, min_distinct_types=2, always_mask=("CARD_NUMBER",)))
 
 
 VALUES = (("EMAIL", "Anna.K@Example.com"), ("CARD_NUMBER", "4532 0151 1283 0366"), ("PHONE", "+7 912 345-67-89"), ("FIO", "Иванов  Иван"))
@@ -346,6 +357,67 @@ def mask_batch(spark, d):
     return out.select("request_id", F.explode("results").alias("r")).select("request_id", F.col("r.index").cast("long").alias("index"), "r.masked")
 
 
+BATCHES = ((1, "crm-assistant", ("почта a@b.ru",)), (2, "crm-assistant", ()), (3, "crm-assistant", None), (4, None, ("почта a@b.ru",)), (5, "crm-assistant", (None, "чисто", "")))
+
+
+def batch_edges(spark, d):
+    """Batches that are empty, null, anonymous, or hold a null text: none is lost."""
+    rows = spark.createDataFrame([(i, s, None if t is None else list(t)) for i, s, t in BATCHES], "request_id long, system_id string, texts array<string>")
+    out = M.mask_batch(rows, POLICY, SECRET)
+    items = F.array_join(F.transform("results", lambda r: F.coalesce(r["error"], r["masked"])), "|")
+    return out.select("request_id", items.alias("items"), "error")
+
+
+#: Texts with characters that change places or bytes when normalised, and the emails in them by bytes.
+FOLDING = (("— почта a@b.ru", 15, 21), ("«x» a@b.ru", 6, 12), ("İ a@b.ru", 3, 9), ("ｅ a@b.ru", 4, 10), ("ёж a@b.ru", 5, 11), ("ﬁ\ta@b.ru", 4, 10), ("ÀÉ a@b.ru", 5, 11))
+
+
+def detect_email_folding(spark, d):
+    rows = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(FOLDING)], "text_id long, text string")
+    return rows.select("text_id", F.explode(M.email_spans(F.col("text"))).alias("m")).select("text_id", "m.start", "m.end", "m.value")
+
+
+def mask_redacted_docs(spark, d):
+    """All documents with their emails starred out: what splicing makes of the whole text."""
+    policy = Policy(types=frozenset(("EMAIL",)), masks={"EMAIL": "redact"}, thresholds={}, filters=("none",))
+    return M.mask_documents(_docs(spark, d), policy, SECRET).select("doc_id", F.sha2("masked", 256).alias("sha"), F.size("entities").cast("long").alias("n"))
+
+
+def entity_counts(spark, d):
+    e = M.explode_entities(M.mask_documents(_docs(spark, d), POLICY, SECRET), "doc_id")
+    return R.entity_counts(e.where(F.col("type").isin("EMAIL", "CARD_NUMBER")))
+
+
+def leaks_fixture(spark, d):
+    """What the self-check says of texts that weren't masked well."""
+    rows = [spark.createDataFrame([(t,) for t in texts], "masked string") for texts in (("почта a@b.ru и c@d.ru", "чисто", None), ("карта 4532015112830366", "пишите a@b.ru"))]
+    found = [M.leaks(r, POLICY) for r in rows]
+    return R.leak_counts(found[0].unionByName(found[1]))
+
+
+def degraded_requests(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % 4 == 0).alias("degraded"), F.when(F.col("event_id") % 8 == 0, "recogniser").alias("reason"))
+    return R.degraded_counts(e)
+
+
+def request_summary(spark, d):
+    """How many entities of each type, and where, of some requests."""
+    rows = spark.createDataFrame([(1, "почта a@b.ru, c@d.ru, карта 4532015112830366"), (2, "чисто")], "request_id long, text string")
+    out = M.summarise(M.mask_documents(rows, POLICY, SECRET))
+    types = F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["type"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.select("request_id", types.alias("types"), spans.alias("spans"))
+
+
+def address_absorbed(spark, d):
+    """An address and its parts: whole it takes them in, by components they stand for themselves."""
+    text, _ = unmark("".join(m for n, m in MARKED if n == "address"))
+    rows = spark.createDataFrame([(m, text) for m in ("whole", "components")], "mode string, text string")
+    by = {m: Policy(types=ANY.types, thresholds={}, filters=("none",), address_mode=m) for m in ("whole", "components")}
+    one = lambda r: ([c.pd_type for c in masking.find_entities(r[1], by[r[0]], Lists())[1]],)
+    return M._with(rows, {"types": "array<string>"}, one, ["mode", "text"]).select("mode", F.array_join("types", ",").alias("types"))
+
+
 REQUESTS = (("crm-assistant", None, None), ("crm-assistant", "chat", None), ("payments-bot", "embeddings", None), ("analytics", None, "system_disabled"), ("nobody", None, "unknown_system"), ("crm-assistant", "nowhere", "unknown_route"))
 
 
@@ -362,6 +434,19 @@ def route_match(spark, d):
     return PL.match_routes(r, DEFAULT)
 
 
+def route_actions(spark, d):
+    r = spark.createDataFrame([(*x[:2], "почта a@b.ru") for x in PATHS], "method string, path string, text string")
+    return PL.apply_actions(PL.match_routes(r, DEFAULT)).select("path", "step", "outgoing", "error")
+
+
+def policy_swap(spark, d):
+    """One system before and after the configuration that switches it off."""
+    off = DEFAULT | {"systems": DEFAULT["systems"] | {"payments-bot": DEFAULT["systems"]["payments-bot"] | {"enabled": False}}}
+    asked = spark.createDataFrame([(t, s, None) for t in (5, 15, 25) for s in ("payments-bot", "crm-assistant")], "ts long, system_id string, route_id string")
+    parts = PL.swapped(asked, [(10, DEFAULT), (20, off)])
+    return parts[0].unionByName(parts[1]).select("ts", "system_id", F.coalesce("error", F.lit("ok")).alias("error"))
+
+
 STEPS = (("a", 1, "почта a@b.ru", "masked", "почта [EMAIL_1]"), ("a", 2, "почта a@b.ru", "repeated", "почта [EMAIL_1]"), ("a", 3, "почта [EMAIL_1]", "restored", "почта a@b.ru"), ("a", 4, "ответ: EMAIL_1!", "restored", "ответ: a@b.ru!"), ("b", 1, "чисто", "masked", "чисто"))
 
 
@@ -371,7 +456,7 @@ def correlated_steps(spark, d):
 
 
 def vault_stateless(spark, d):
-    docs = _docs(spark, d).where(F.col("text").contains("@")).withColumns({"session_id": F.col("doc_id").cast("string"), "system_id": F.lit("crm-assistant")})
+    docs = _docs(spark, d).withColumns({"session_id": F.col("doc_id").cast("string"), "system_id": F.lit("crm-assistant")})
     sealed = S.seal(M.mask_documents(docs, POLICY, SECRET), SECRET).select("doc_id", "text", "session_id", "system_id", "mask_context")
     opened = S.unseal(sealed, SECRET)
     foreign = S.unseal(sealed.withColumn("system_id", F.lit("other")), SECRET).select("doc_id", F.col("mapping").isNull().alias("foreign_null"))
@@ -383,6 +468,13 @@ def vault_latest(spark, d):
     return S.vault_latest(e, F.lit("2030-01-01").cast("timestamp"), 10**9).select("session_id", "mapping")
 
 
+def vault_capacity(spark, d):
+    """Of the sessions put in the last six hours of the events the 25 newest."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.lit("s").alias("system_id"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 5 != 0, F.col("event_id").cast("string")).alias("mapping"))
+    now = e.agg(F.max("ts").alias("now"))
+    return S.vault_latest(e, F.lit(now.first()["now"]), 6 * 3600, 25).select("session_id", "mapping")
+
+
 def _calls(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("request_id"), F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("system_id"), F.col("event_type").alias("service"), (F.col("event_id") % 3 != 0).alias("success"))
 
@@ -414,7 +506,7 @@ def request_counters(spark, d):
 
 
 def category_rates(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").contains("@"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
     m = M.demask_documents(M.mask_documents(docs.select("doc_id", "text", F.col("lang").alias("category")), POLICY, SECRET)).withColumn("ok", F.lit(True))
     return R.category_rates(m).select("category", "ok", F.round("restored_rate", 6).alias("restored_rate"))
 
@@ -519,11 +611,11 @@ def load_texts(spark, d):
 
 
 def sql_detect(spark, d):
-    """The table function, joined laterally to documents with an @."""
+    """The table function, joined laterally to all documents."""
     from .operators.sql import register
 
     register(spark, POLICY, SECRET)
-    spark.read.parquet(f"{d}/documents.parquet").where(F.col("text").contains("@")).createOrReplaceTempView("maskwright_docs")
+    spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("maskwright_docs")
     return spark.sql("SELECT doc_id, p.start, p.end FROM maskwright_docs, LATERAL pd_detect(text) p WHERE p.pd_type = 'EMAIL'")
 
 
@@ -543,11 +635,12 @@ def prometheus_text(spark, d):
     return R.to_prometheus(e, "requests_total", ["event_type"], "n")
 
 
-_DOCS_QUERIES = (gate_docs, token_count_docs, mask_full_docs, mask_emails_cards, demask_roundtrip, selfcheck_leaks, vault_stateless, category_rates)
+_DOCS_QUERIES = (gate_docs, token_count_docs, mask_full_docs, mask_emails_cards, demask_roundtrip, selfcheck_leaks, vault_stateless, category_rates, mask_redacted_docs, entity_counts)
 _OTHER = (
     normalize_texts, offsets_texts, validate_numbers, validate_order_dates, validate_series, parse_numerals, relevance_filters, resolve_overlaps, combination_rules,
     combination_fold, mask_kinds, mask_synthetic, demask_tolerant, json_extract_chat, json_mask_chat, json_roundtrip_chat, mask_batch, policy_resolve, route_match,
     correlated_steps, vault_latest, rate_limit, circuit_breaker, invalid_runs, latency_percentiles, request_counters, quality_report, quality_fixtures,
+    batch_edges, detect_email_folding, leaks_fixture, degraded_requests, request_summary, address_absorbed, route_actions, policy_swap, vault_capacity, distinct_types_fold,
     detect_config_regex, ner_windows, recognise_external, stream_vault, process_requests, request_forms, load_texts, sql_detect, authenticate, prometheus_text,
 )
 QUERIES = {f.__name__: f for f in (*_DOCS_QUERIES, *_OTHER)} | {
@@ -563,6 +656,27 @@ _DATE_KEEP = """list_contains(list_transform([regexp_extract_all(value, '[0-9]+'
   ELSE (CASE WHEN CAST(p[3] AS BIGINT) > 100 THEN CAST(p[3] AS BIGINT) ELSE 2000 + CAST(p[3] AS BIGINT) END) BETWEEN 1900 AND 2100 AND
   (try_cast((CASE WHEN CAST(p[3] AS BIGINT) > 100 THEN CAST(p[3] AS BIGINT) ELSE 2000 + CAST(p[3] AS BIGINT) END) || '-' || p[2] || '-' || p[1] AS DATE) IS NOT NULL
   OR try_cast((CASE WHEN CAST(p[3] AS BIGINT) > 100 THEN CAST(p[3] AS BIGINT) ELSE 2000 + CAST(p[3] AS BIGINT) END) || '-' || p[1] || '-' || p[2] AS DATE) IS NOT NULL) END)), TRUE)"""
+#: Every match of the pattern that stands free, starred out: by document what lies before each, then the rest.
+_REDACTED_SQL = f"""WITH t AS (SELECT doc_id, text, lower(text) AS n FROM documents),
+  m AS (SELECT doc_id, n, regexp_extract_all(n, {_q(P.EMAIL)}) AS v, regexp_split_to_array(n, {_q(P.EMAIL)}) AS g FROM t WHERE contains(n, '@')),
+  e AS (SELECT doc_id, n, v, g, unnest(range(1, len(v) + 1)) AS i FROM m),
+  s AS (SELECT doc_id, n, v[i] AS value, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos FROM e),
+  f AS (SELECT doc_id, pos, CAST(length(value) AS BIGINT) AS len FROM s WHERE NOT (pos > 0 AND regexp_matches(substr(n, pos, 1), '[0-9A-Za-z]')) AND NOT regexp_matches(substr(n, pos + length(value) + 1, 1), '[0-9A-Za-z]|[^\\x00-\\x7F]')),
+  p AS (SELECT doc_id, pos, len, coalesce(lag(pos + len) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS before FROM f),
+  o AS (SELECT doc_id, count(*) AS n, max(pos + len) AS last, string_agg(substr(text, before + 1, pos - before) || repeat('*', len), '' ORDER BY pos) AS head FROM p JOIN t USING (doc_id) GROUP BY doc_id)
+  SELECT doc_id, sha256(coalesce(head, '') || substr(text, coalesce(last, 0) + 1)) AS sha, CAST(coalesce(o.n, 0) AS BIGINT) AS n FROM t LEFT JOIN o USING (doc_id)"""
+_NUMBERED_CALLS = "n AS (SELECT event_type AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 AS t, event_id % 3 <> 0 AS good FROM events)"
+_LIMIT_SQL = f"""WITH RECURSIVE {_NUMBERED_CALLS},
+  f(s, k, t, tokens, ok) AS (SELECT s, k, t, 0.0::DOUBLE, TRUE FROM n WHERE k = 1
+    UNION ALL SELECT n.s, n.k, n.t, least(1.0, f.tokens + (n.t - f.t)) - CASE WHEN least(1.0, f.tokens + (n.t - f.t)) >= 1 THEN 1 ELSE 0 END, least(1.0, f.tokens + (n.t - f.t)) >= 1 FROM f JOIN n ON n.s = f.s AND n.k = f.k + 1)
+  SELECT s AS system_id, count(*) AS requests, count_if(ok) AS allowed FROM f GROUP BY s"""
+_BREAKER_SQL = f"""WITH RECURSIVE {_NUMBERED_CALLS},
+  f(s, k, seen, state, total, failed, opened) AS (SELECT DISTINCT s, 0::BIGINT, 'closed', 'closed', 0, 0, 0.0::DOUBLE FROM n
+    UNION ALL SELECT s, k, now_, CASE WHEN judged AND bad / 20 >= 0.3 THEN 'open' ELSE now_ END, CASE WHEN judged OR now_ = 'open' THEN CASE WHEN judged THEN 0 ELSE total END ELSE total + 1 END,
+      CASE WHEN judged THEN 0 ELSE bad END, CASE WHEN judged AND bad / 20 >= 0.3 THEN t ELSE opened END
+      FROM (SELECT *, now_ <> 'open' AND total + 1 >= 20 AS judged, failed + CASE WHEN now_ <> 'open' AND NOT good THEN 1 ELSE 0 END AS bad
+        FROM (SELECT n.s, n.k, n.t, n.good, f.total, f.failed, f.opened, CASE WHEN f.state = 'open' AND n.t - f.opened >= 3600 THEN 'half_open' ELSE f.state END AS now_ FROM f JOIN n ON n.s = f.s AND n.k = f.k + 1)))
+  SELECT s AS service, seen AS state, count(*) AS calls FROM f WHERE k > 0 GROUP BY s, seen"""
 _EMAIL_SQL, _CARD_SQL = _spans_sql(P.EMAIL, "@"), _spans_sql(P.CARD, "[0-9]", _LUHN)
 ORACLES = {
     "gate_docs": r"SELECT doc_id, coalesce(regexp_matches(text, '[0-9@\p{Lu}]'), FALSE) AS scan FROM documents",
@@ -593,7 +707,22 @@ ORACLES = {
     "policy_resolve": _values([(a, b, c or "ok") for a, b, c in REQUESTS], ["system_id", "route_id", "error"], "sss"),
     "route_match": _values(list(PATHS), ["method", "path", "route_id", "action"], "ssss"),
     "correlated_steps": _values([(i, t, o, r) for i, t, _, o, r in STEPS], ["payload_id", "ts", "outcome", "result"], "siss"),
-    "vault_stateless": "SELECT doc_id, TRUE AS same, TRUE AS foreign_null FROM documents WHERE contains(text, '@')",
+    "vault_stateless": "SELECT doc_id, TRUE AS same, TRUE AS foreign_null FROM documents",
+    "batch_edges": _values([(1, "почта [EMAIL_1]", None), (2, "", None), (3, None, "bad_request"), (4, None, "unauthorized"), (5, "bad_request|чисто|", None)], ["request_id", "items", "error"], "iss"),
+    "detect_email_folding": _values([(i, a, b, "a@b.ru") for i, (_, a, b) in enumerate(FOLDING)], ["text_id", '"start"', '"end"', "value"], "iiis"),
+    "mask_redacted_docs": _REDACTED_SQL,
+    "entity_counts": f"SELECT pd_type, 'regex' AS source, count(*) AS entities FROM (SELECT 'EMAIL' AS pd_type FROM ({_EMAIL_SQL}) UNION ALL SELECT 'CARD_NUMBER' FROM ({_CARD_SQL})) GROUP BY pd_type",
+    "leaks_fixture": _values([("EMAIL", 3), ("CARD_NUMBER", 1)], ["pd_type", "leaks"], "si"),
+    "degraded_requests": "SELECT CASE WHEN event_id % 8 = 0 THEN 'recogniser' ELSE 'unknown' END AS reason, count(*) AS requests FROM events WHERE event_id % 4 = 0 GROUP BY 1",
+    "request_summary": _values([(1, "CARD_NUMBER=1,EMAIL=2", "EMAIL:11:17,EMAIL:19:25,CARD_NUMBER:38:54"), (2, "", "")], ["request_id", "types", "spans"], "iss"),
+    "address_absorbed": _values([("whole", "ADDRESS"), ("components", "ADDR_CITY,ADDR_STREET,ADDR_HOUSE,ADDR_FLAT")], ["mode", "types"], "ss"),
+    "route_actions": _values([(p, {"mask": "mask", "bypass": "pass"}.get(a), "почта a@b.ru" if a == "bypass" else None, "blocked" if a == "block" else None if a else "no_route") for _, p, _, a in PATHS], ["path", "step", "outgoing", "error"], "ssss"),
+    "policy_swap": _values([(15, "payments-bot", "ok"), (15, "crm-assistant", "ok"), (25, "payments-bot", "system_disabled"), (25, "crm-assistant", "ok")], ["ts", "system_id", "error"], "iss"),
+    "vault_capacity": """SELECT session_id, mapping FROM (SELECT CAST(user_id AS VARCHAR) AS session_id, arg_max(event_id, ts) AS e, max(ts) AS t FROM events GROUP BY user_id), LATERAL (SELECT CAST(e AS VARCHAR) AS mapping)
+      WHERE e % 5 <> 0 AND t + INTERVAL 6 HOUR > (SELECT max(ts) FROM events) ORDER BY t DESC, session_id LIMIT 25""",
+    "distinct_types_fold": _values([(1, "EMAIL", 0), (1, "PHONE", 40), (2, "CARD_NUMBER", 5), (2, "CARD_NUMBER", 50)], ["doc_id", "pd_type", '"start"'], "isi"),
+    "rate_limit": _LIMIT_SQL,
+    "circuit_breaker": _BREAKER_SQL,
     "vault_latest": "SELECT session_id, mapping FROM (SELECT CAST(user_id AS VARCHAR) AS session_id, arg_max(event_id, ts) AS e FROM events GROUP BY user_id), LATERAL (SELECT CAST(e AS VARCHAR) AS mapping) WHERE e % 5 <> 0",
     "invalid_runs": """SELECT event_type, CAST(max(n) AS BIGINT) AS longest_run FROM (SELECT event_type, g, sum(i) AS n FROM (SELECT event_type, i, sum(1 - i) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS g
       FROM (SELECT event_type, ts, event_id, CASE WHEN event_id % 3 <> 0 THEN 1 ELSE 0 END AS i FROM events WHERE event_id % 7 <> 0)) GROUP BY event_type, g) GROUP BY event_type""",
@@ -602,7 +731,7 @@ ORACLES = {
       avg(CASE WHEN o_orderkey % 50 <> 0 THEN 1 ELSE 0 END) >= 0.99 AND quantile_cont(o_totalprice, 0.99) <= 1000 AS passed FROM orders GROUP BY o_orderpriority""",
     "request_counters": """SELECT event_type AS system_id, CASE WHEN event_id % 10 = 0 THEN '429' ELSE '200' END AS status, count(*) AS requests, CAST(sum(event_id % 100) AS BIGINT) AS tokens,
       round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1, 2""",
-    "category_rates": "SELECT lang AS category, count(*) AS ok, 1.0::DOUBLE AS restored_rate FROM documents WHERE contains(text, '@') GROUP BY lang",
+    "category_rates": "SELECT lang AS category, count(*) AS ok, 1.0::DOUBLE AS restored_rate FROM documents GROUP BY lang",
     "quality_report": _values([("FIO", 1, 0, 0, 1.0, 1.0, 1.0), ("EMAIL", 2, 1, 0, 0.666667, 1.0, 0.8), ("PHONE", 0, 1, 1, 0.0, 0.0, 0.0), ("INN", 0, 0, 1, 0.0, 0.0, 0.0), ("all", 3, 2, 2, 0.6, 0.6, 0.6)], ["pd_type", "tp", "fp", "fn", '"precision"', "recall", "f1"], "siiiddd"),
     "quality_fixtures": _values([(sum(len(unmark(m)[1]) for _, m in MARKED), 0, 0)], ["tp", "fp", "fn"], "iii"),
     "detect_config_regex": _values([(0, 25, 41, 1.0, True), (1, 22, 38, 0.3, False)], ["id", '"start"', '"end"', "score", "ok"], "iiidb"),
