@@ -7,6 +7,7 @@ scores the mean log frequency of its n-grams of the greatest length of which any
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -15,50 +16,62 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, set_aside, slices
+from .common import Scratch, bucket_of, keep, set_aside, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Training documents of each language, about: a larger corpus is sampled by a hash of the text.
-SAMPLE = 1500
+#: Distinct training texts of each language, about, and how much of them all: beyond that a hash of the text draws.
+SAMPLE, SAMPLE_BYTES = 1500, 32 << 20
 GRAMS = (5, 4, 3, 2, 1)
+#: Words of a text that are looked up together.
+BLOCK = 8192
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def grams_of(word: str) -> list[str]:
+    """All n-grams of the padded word."""
+    p = f"<{word}>"
+    return [p[at : at + k] for k in GRAMS for at in range(len(p) - k + 1)]
+
+
 class LanguageModel:
     """Log frequencies by language of words and of the n-grams of padded words."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], least: int = 2, remember: int = 200_000):
-        """counts: by language, how often each word occurs; words rarer than least are known by n-grams only."""
-        self.langs = sorted(counts)
-        n = len(self.langs)
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        grams: dict[int, dict[str, np.ndarray]] = {k: defaultdict(lambda: np.zeros(n)) for k in GRAMS}
-        for i, lang in enumerate(self.langs):
-            for w, c in counts[lang].items():
-                words[w][i] += c
-                for k in GRAMS:
-                    p = f"<{w}>"
-                    for at in range(len(p) - k + 1):
-                        grams[k][p[at : at + k]][i] += c
-        self.words, rows = self._table({w: c for w, c in words.items() if c.sum() >= least})
-        self.grams = {k: self._table(dict(g)) for k, g in grams.items()}
-        self.known, self.remember = len(rows), remember
-        self.rows = np.concatenate([rows, np.zeros((remember, n))])
-        self.floor = self.rows[: self.known].min(axis=0) if self.known else np.zeros(n)
+    def __init__(self, counts: dict[str, dict[str, int]], least: int = 2, remember: int = 150_000, grams: dict[str, dict[str, int]] | None = None):
+        """counts: by language, how often each word occurs; words rarer than least are known by n-grams only.
+
+        grams: the same of their n-grams, by gram and language, if counted already. What
+        back-off finds for unseen words is remembered, for remember of them at most.
+        """
+        self.langs, self.remember = sorted(counts), remember
+        words: dict[str, dict[str, int]] = defaultdict(dict)
+        for lang in self.langs:
+            for w, n in counts[lang].items():
+                words[w][lang] = n
+        if grams is None:
+            grams = defaultdict(Counter)
+            for w, of in words.items():
+                for g in grams_of(w):
+                    grams[g].update(of)
+        self.words, self.rows = self._table({w: c for w, c in words.items() if sum(c.values()) >= least})
+        self.grams = {k: self._table({g: c for g, c in grams.items() if len(g) == k}) for k in GRAMS}
+        self.known = len(self.rows)
+        self.floor = self.rows.min(axis=0) if self.known else np.zeros(len(self.langs))
         self.unseen: dict[str, int] = {}
 
-    @staticmethod
-    def _table(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-        if not counts:
-            return {}, np.zeros((0, 0))
-        c = np.array(list(counts.values()))
-        return dict(zip(counts, range(len(counts)), strict=True)), np.log10((c + 0.1) / (c.sum(axis=0) + 0.1 * len(c)))
+    def __getstate__(self):
+        return self.__dict__ | {"unseen": {}, "rows": self.rows[: self.known]}
 
-    def _back_off(self, word: str) -> np.ndarray:
+    def _table(self, counts: dict[str, dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        c = np.zeros((len(counts), len(self.langs)))
+        for i, lang in enumerate(self.langs):
+            c[:, i] = [of.get(lang, 0) for of in counts.values()]
+        return dict(zip(counts, range(len(counts)), strict=True)), np.log10((c + 0.1) / (c.sum(axis=0) + 0.1 * max(len(c), 1)))
+
+    def back_off(self, word: str) -> np.ndarray:
         p = f"<{word}>"
         for k in GRAMS:
             number, rows = self.grams[k]
@@ -67,38 +80,64 @@ class LanguageModel:
                 return rows[at].mean(axis=0)
         return self.floor
 
+    def _number(self, words: list[str]) -> list[int]:
+        """Rows of known and remembered words; room is made for all of words at once, so that no row is overwritten that they use."""
+        known, unseen = self.words.get, self.unseen
+        at = [i if (i := known(w)) is not None else unseen.get(w) for w in words]
+        if None not in at:
+            return at
+        gaps = [j for j, i in enumerate(at) if i is None]
+        new = dict.fromkeys(words[j] for j in gaps)
+        if len(unseen) + len(new) > self.remember:
+            unseen.clear()
+            gaps = [j for j, i in enumerate(at) if i is None or i >= self.known]
+            new = dict.fromkeys(words[j] for j in gaps)
+        if len(self.rows) == self.known:
+            self.rows = np.concatenate([self.rows, np.zeros((max(self.remember, BLOCK), len(self.langs)))])
+        for w in new:
+            i = unseen[w] = self.known + len(unseen)
+            self.rows[i] = self.back_off(w)
+        for j in gaps:
+            at[j] = unseen[words[j]]
+        return at
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its share of the likelihood, tempered by the text's length."""
         words = words_of(text)
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        at = []
-        for w in words:
-            i = self.words.get(w)
-            if i is None and (i := self.unseen.get(w)) is None:
-                if len(self.unseen) == self.remember:
-                    total = self.rows[at].sum(axis=0) if at else 0.0
-                    self.rows[self.known + self.remember - 1] = total  # what was summed so far, as one row
-                    self.unseen.clear()
-                    at = [self.known + self.remember - 1]
-                i = self.unseen[w] = self.known + len(self.unseen) if len(self.unseen) < self.remember - 1 else self.known
-                self.rows[i] = self._back_off(w)
-            at.append(i)
-        score = self.rows[at].sum(axis=0) * (np.log(10) / len(words) ** 0.5)
+        total = np.zeros(len(self.langs))
+        for at in range(0, len(words), BLOCK):
+            rows = self._number(words[at : at + BLOCK])
+            total += self.rows[rows].sum(axis=0)
+        score = total * (np.log(10) / len(words) ** 0.5)
         share = np.exp(score - score.max())
         best = int(share.argmax())
         return self.langs[best], float(share[best] / share.sum())
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learns from text and lang of docs, from about sample documents of each language.
+    """Learns from text and lang of docs, from about sample distinct texts of each language.
 
-    Rows with a null text or lang teach nothing. The bound on the sample bounds the model.
+    Texts are drawn by a hash, so copies of one teach once and a language made of copies is
+    learned too; one that would take its language over SAMPLE_BYTES is passed over. Rows with a
+    null text or lang teach nothing. The bound on the sample bounds the model.
     """
-    docs = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).dropna()
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]) if sizes else F.map_from_arrays(F.array(), F.array())
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)) if sizes else docs
+    docs = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).dropna().withColumn("h", F.xxhash64("text"))
+    # Of each text a hash and a length, and of each language a row, go about; texts don't.
+    scratch = Scratch(docs.sparkSession, "language")
+    texts = scratch.write(docs.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("bytes")), "texts")
+    sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return LanguageModel({})
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
+    room, picked = dict.fromkeys(sizes, SAMPLE_BYTES), []
+    for r in texts.where(F.pmod("h", F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)).orderBy("h").collect():
+        if r["bytes"] <= room[r["lang"]]:
+            room[r["lang"]] -= r["bytes"]
+            picked.append((r["lang"], r["h"]))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(picked, "lang string, h long"))
+    chosen = docs.join(wanted, ["lang", "h"]).dropDuplicates(["lang", "h"])
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -107,10 +146,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
                 seen.update((lang, w) for w in words_of(text))
         yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["lang", "word", "n"])
 
+    words = scratch.write(chosen.select("text", "lang").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
+    places = F.flatten(F.transform(F.array(*map(F.lit, GRAMS)), lambda k: F.transform(F.when(F.length(padded) >= k, F.sequence(F.lit(1), F.length(padded) - k + 1)).otherwise(F.array().cast("array<int>")), lambda at: F.substring(padded, at, k))))
+    grams = words.select("lang", F.explode(places).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
     counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
-    for r in picked.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
-        counts[r["lang"]][r["word"]] = r["n"]
-    return LanguageModel(counts)
+    got = words.toArrow()
+    for lang, w, n in zip(*(got[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+        counts[lang][w] = n
+    of: dict[str, dict[str, int]] = defaultdict(dict)
+    got = grams.toArrow()
+    for lang, g, n in zip(*(got[c].to_pylist() for c in ("lang", "gram", "n")), strict=True):
+        of[g][lang] = n
+    return LanguageModel(counts, grams=of)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -122,10 +171,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     import pyarrow as pa
 
     docs = docs.drop("lang_pred", "score")
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    sent, at, name = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), ("language", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = keep(name, lambda: sent.value)
         for whole in batches:
             for b in slices(whole):
                 got = [m.predict(t) for t in b.column(at).to_pylist()]
