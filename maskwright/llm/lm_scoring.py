@@ -75,6 +75,12 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pd.DataFr
 BLOBS = "shard long, k binary, c binary"
 
 
+def by_shard(blobs: DataFrame, n: int):
+    """Groups of rows by shard, dealt to as many tasks as there are shards."""
+    many = max(int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n, 100_000))
+    return blobs.repartition(many, "shard").groupBy("shard")
+
+
 @dataclass
 class Model:
     """Where the files are, and the totals."""
@@ -108,12 +114,12 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class Reader:
     """A model's files, mapped: numbers of words, counts and statistics."""
 
-    def __init__(self, model: Model, limit: int = 250_000):
+    def __init__(self, model: Model, limit: int = 250_000, pairs: bool = True):
         self.m, self.first = model, model.first
         self.hashes = [_map(h, "<u8") for h, _, _ in model.words]
         self.counts = [_map(c, "<i8") for _, c, _ in model.words]
-        self.pair_keys = [_map(k, "<u8") for k, _ in model.pairs]
-        self.pair_counts = [_map(c, "<u4") for _, c in model.pairs]
+        self.pair_keys = [_map(k, "<u8") for k, _ in model.pairs if pairs]
+        self.pair_counts = [_map(c, "<u4") for _, c in model.pairs if pairs]
         self.stats = [_map(s, "<i8").reshape(-1, 4) for s in model.stats]
         self.limit, self.new, self.old = limit, {}, {}
         self.shift = np.uint64(64 - max(model.shards.bit_length() - 1, 0))
@@ -153,6 +159,19 @@ class Reader:
             out[at] = table[s][numbers[at] - self.first[s]].reshape(-1, width)
         return out
 
+    def lower(self, words: np.ndarray) -> np.ndarray:
+        """The lower order's probability of words by number (-1: unseen), from the words that they follow."""
+        m, ends = self.m, self.of_words(self.stats, words, 4)[:, 0]
+        return np.maximum(ends - m.cut_low[np.minimum(ends, 3)], 0) / max(m.n_pairs, 1) + m.low_share / (m.n_types + 1)
+
+    def context(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of contexts (n_types: a text's start; -1: unseen) how often each occurs and the share that goes to the lower order."""
+        m, inside = self.m, (numbers >= 0) & (numbers < self.m.n_types)
+        known = np.where(inside, numbers, -1)
+        total, begins = self.of_words(self.counts, known, 1)[:, 0].astype(float), self.of_words(self.stats, known, 4)[:, 1:].astype(float)
+        total[numbers == m.n_types], begins[numbers == m.n_types] = m.n_docs, m.start
+        return total, np.where(total > 0, begins @ m.cut[1:] / np.maximum(total, 1), 1.0)
+
     def of_pairs(self, pairs: np.ndarray) -> np.ndarray:
         out = np.zeros(len(pairs), np.int64)
         shard = shard_of_pair(pairs, self.m.shards, self.m.hot)
@@ -215,13 +234,20 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
         k, c = _summed([np.frombuffer(x, "<u8") for x in p["k"]], [np.frombuffer(x, "<i8") for x in p["c"]])
         return pd.DataFrame({"shard": p["shard"].iloc[:1], "k": [_write(root, k)], "c": [_write(root, c)], "types": [len(k)], "tokens": [int(c.sum())]})
 
-    rows = {r["shard"]: r for r in texts.mapInPandas(count_words, BLOBS).groupBy("shard").applyInPandas(merge_words, "shard long, k string, c string, types long, tokens long").collect()}
+    rows = {r["shard"]: r for r in by_shard(texts.mapInPandas(count_words, BLOBS), n).applyInPandas(merge_words, "shard long, k string, c string, types long, tokens long").collect()}
     m.words = [(rows[s]["k"], rows[s]["c"], rows[s]["types"]) if s in rows else (None, None, 0) for s in range(n)]
     m.n_tokens, m.n_types = sum(r["tokens"] for r in rows.values()), sum(r["types"] for r in rows.values())
     start = m.n_types  # the number of the context of a text's first word
     limit = max(1, m.n_tokens // (8 * n))
-    often = [np.flatnonzero(_map(c, "<i8") > limit) + m.first[s] for s, (_, c, _) in enumerate(m.words)]
-    m.hot = np.array(sorted({*np.concatenate([*often, np.zeros(0, np.int64)]).tolist(), start}), np.uint64)
+
+    def frequent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for uri, first in zip(p["uri"], p["first"], strict=True):
+                yield pd.DataFrame({"word": np.flatnonzero(_map(uri, "<i8") > limit) + first})
+
+    files = [(c, int(at)) for (_, c, k), at in zip(m.words, m.first, strict=False) if k]
+    often = spark.createDataFrame(files, "uri string, first long").repartition(min(max(1, len(files)), 100_000)).mapInPandas(frequent, "word long").collect()
+    m.hot = np.array(sorted({*(r["word"] for r in often), start}), np.uint64)
 
     def count_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, got, size = Reader(m), [], 0
@@ -253,7 +279,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
         head = pd.DataFrame({"shard": [-1 - int(p["shard"].iloc[0])], "k": [_write(root, k).encode()], "c": [_write(root, np.minimum(c, LOW).astype("<u4")).encode()], "n": [[len(k), *of_counts.tolist()]]})
         return pd.concat([head, out.assign(n=None)])
 
-    merged = scratch.write(texts.mapInPandas(count_pairs, BLOBS).groupBy("shard").applyInPandas(merge_pairs, BLOBS + ", n array<long>"), "pairs")
+    merged = scratch.write(by_shard(texts.mapInPandas(count_pairs, BLOBS), n).applyInPandas(merge_pairs, BLOBS + ", n array<long>"), "pairs")
     heads = {-1 - r["shard"]: r for r in merged.where("shard < 0").collect()}
     m.pairs = [(heads[s]["k"].decode(), heads[s]["c"].decode()) if s in heads else (None, None) for s in range(n)]
     m.n_pairs = sum(r["n"][0] for r in heads.values())
@@ -268,7 +294,7 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
         full[k - m.first[s]] = c
         return pd.DataFrame({"shard": [s], "uri": [_write(root, full)], "n": [np.bincount(np.minimum(full[:, 0], 5), minlength=6)[1:].tolist()]})
 
-    stats = {r["shard"]: r for r in merged.where("shard >= 0").select("shard", "k", "c").groupBy("shard").applyInPandas(merge_stats, "shard long, uri string, n array<long>").collect()}
+    stats = {r["shard"]: r for r in by_shard(merged.where("shard >= 0").select("shard", "k", "c"), n).applyInPandas(merge_stats, "shard long, uri string, n array<long>").collect()}
     scratch.drop("pairs")
     m.stats = [stats[s]["uri"] if s in stats else None for s in range(n)]
     m.start = np.array(stats[n]["n"][1:] if n in stats else [0, 0, 0])

@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, input_bytes, mix64, slices
-from .lm_scoring import BLOBS, _dealt, _map, _summed, _write, shard_of_hash
+from .common import Scratch, forget, input_bytes, mix64, set_aside, slices
+from .lm_scoring import BLOBS, _dealt, _map, _summed, _write, by_shard, shard_of_hash
 
 LENGTH, ANCHOR = 400, 32
 SHARD_BYTES, BUCKET_BYTES, FLUSH_BYTES = 48 << 20, 8 << 20, 48 << 20
@@ -92,6 +92,7 @@ def _count_anchors(texts: DataFrame, length: int, n: int, late: np.ndarray, root
     """Files of the anchors that occur twice or more, how often they do in all, and the very frequent ones' contexts."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         got, size = [], 0
         for p in parts:
             for t in p["text"]:
@@ -112,7 +113,7 @@ def _count_anchors(texts: DataFrame, length: int, n: int, late: np.ndarray, root
         top = np.argsort(-c, kind="stable")[:64]
         return pd.DataFrame({"shard": p["shard"].iloc[:1], "uri": [_write(root, k)], "total": [total], "again": [int(c.sum())], "top": [k[top].astype(np.int64).tolist()], "times": [c[top].tolist()]})
 
-    rows = texts.mapInPandas(count, BLOBS).groupBy("shard").applyInPandas(merge, "shard long, uri string, total long, again long, top array<long>, times array<long>").collect()
+    rows = by_shard(texts.mapInPandas(count, BLOBS), n).applyInPandas(merge, "shard long, uri string, total long, again long, top array<long>, times array<long>").collect()
     total = sum(r["total"] for r in rows)
     often = max(512, total // 400)
     hot = sorted(k for r in rows for k, c in zip(r["top"], r["times"], strict=True) if c > often)
@@ -327,7 +328,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
         return pd.DataFrame({"k1": [k[0] for k in rows], "k2": [k[1] for k in rows], "spans": [np.array(sorted(v), "<i8").tobytes() for v in rows.values()]})
 
     dealt = texts.select(*_keys(), "text").mapInPandas(contexts, "anchor long, place long, context binary, at binary")
-    solved = dealt.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets))).applyInPandas(solve, "k1 long, k2 long, spans binary")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).repartition(min(buckets, 100_000), "bucket")
+    solved = dealt.groupBy("bucket").applyInPandas(solve, "k1 long, k2 long, spans binary")
     # Written, so that the join with the texts is a plain one, whose heavy keys (copies) Spark can split.
     return scratch.write(scratch.write(solved, "spans").groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans")), "grouped")
 
@@ -342,12 +344,13 @@ def _merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with column spans (array of blobs; null: nothing repeats). Other columns stay."""
+def with_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, dict[str, str]]:
+    """docs with column _spans (array of blobs; null: nothing repeats), and what brings back the names of columns set aside for it."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup-" + uuid.uuid4().hex[:6])
+    docs, back = set_aside(docs, ("_j1", "_j2", "_k1", "_k2", "_spans"))
     spans = repeated_spans(docs, scratch, length).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "spans": "_spans"})
     keyed = docs.withColumns(dict(zip(("_j1", "_j2"), (F.xxhash64(F.col("text").cast("string")), F.xxhash64(F.lit(1), F.col("text").cast("string"))), strict=True)))
-    return keyed.join(spans, (F.col("_j1") == F.col("_k1")) & (F.col("_j2") == F.col("_k2")), "left").drop("_j1", "_j2", "_k1", "_k2")
+    return keyed.join(spans, (F.col("_j1") == F.col("_k1")) & (F.col("_j2") == F.col("_k2")), "left").drop("_j1", "_j2", "_k1", "_k2"), back
 
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -430,7 +433,7 @@ def _met_again(texts: DataFrame, hashes_of, n: int, root: str) -> list:
         return pd.DataFrame({"shard": p["shard"].iloc[:1], "uri": [_write(root, k[c > 1])]})
 
     uris: list = [None] * n
-    for r in texts.mapInPandas(count, BLOBS).groupBy("shard").applyInPandas(merge, "shard long, uri string").collect():
+    for r in by_shard(texts.mapInPandas(count, BLOBS), n).applyInPandas(merge, "shard long, uri string").collect():
         uris[r["shard"]] = r["uri"]
     return uris
 
@@ -500,8 +503,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = No
                 out.append(raw[keep].tobytes().decode("utf-8", "surrogatepass"))
             yield pd.Series(out, dtype=object)
 
-    found = with_spans(docs, length)
-    return found.withColumn("text", cut(F.col("text").cast("string"), "_spans")).select(*docs.columns)
+    found, back = with_spans(docs, length)
+    return found.withColumn("text", cut(F.col("text").cast("string"), "_spans")).drop("_spans").withColumnsRenamed(back).select(*docs.columns)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -521,7 +524,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     rows.append((doc, len(raw), sum(y - x for x, y in spans), len(spans), kept.hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), length)
+    found, _ = with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), length)
     return found.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
