@@ -10,6 +10,8 @@ from maskwright.llm.common import Scratch, tokenizer_file
 
 #: A language's share of the likelihood that a document needs.
 SURE = 0.5
+#: Pieces of text that packing remembers, fewer than alone: executors carry the earlier stages' heap by then.
+REMEMBER = 100_000
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2,048 tokens. A null or empty text is its end id
     alone; each of repeated rows is packed; an empty table has no pieces."""
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), remember=REMEMBER)
 
 
 STAGES = [

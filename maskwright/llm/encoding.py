@@ -18,6 +18,9 @@ _CONTROL_SPACE = "\x1c\x1d\x1e\x1f"
 #: What, beside single blanks and line feeds between words, makes a text be encoded as a whole.
 _OTHER_SPACE = (*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", "  ", " \n", "\n ", "\n\n", "<|")
 
+#: Pieces of a generation; two are remembered.
+PIECES = 450_000
+
 
 def _pieces_spaces(text: str) -> list[str] | None:
     """For tokenizers that drop white space. None: encode the text as a whole."""
@@ -44,7 +47,7 @@ class TextEncoder:
     #: Punctuation that the pre-tokenizers cut off a letter before it, whatever follows.
     AFTER_LETTER = ".,;:!?"
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -126,6 +129,6 @@ class TextEncoder:
         return [first[t] if c is None else first[h] + b"".join(map(get, c)) for t, c, h in zip(texts, cut, heads, strict=True)]
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, limit: int = PIECES) -> TextEncoder:
     """The process's encoder for a tokenizer file: a worker's later tasks find the pieces of its earlier ones."""
-    return keep(("encoder", path), lambda: TextEncoder(path))
+    return keep(("encoder", path, limit), lambda: TextEncoder(path, limit))

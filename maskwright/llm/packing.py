@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices, tokenizer_file
-from .encoding import encoder
+from .encoding import PIECES, encoder
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> tuple[dict[int, np.ndarray], int]:
@@ -94,7 +94,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> tuple[dict[int, np.nd
     return {k: np.array(v, np.int64).reshape(-1, 4) for k, v in runs.items()}, n_seq
 
 
-def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
+def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int, remember: int) -> DataFrame:
     """A row for each piece, with its task and its number among the task's pieces of that length."""
     import pyarrow as pa
 
@@ -103,7 +103,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        encode, seen, part = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encode, seen, part = encoder(path, remember), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
             for b in slices(whole):
                 rows = []
@@ -120,15 +120,16 @@ def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, remember: int = PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece.
 
     docs has doc_id and text; other columns are ignored. A null or empty text is just the
     end id. A document of more than capacity tokens is cut; only its first piece is shorter.
     Rows with equal or null doc_ids are documents of their own. Empty input: no rows.
+    A worker remembers twice remember pieces of text, which costs memory and saves time.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.write(_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    pieces = scratch.write(_pieces(docs, tokenizer, capacity, end_id, remember), "pieces")
     each = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     # A row for each length up to capacity at most comes to the driver.
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}
