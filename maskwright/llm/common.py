@@ -141,9 +141,12 @@ def forget() -> None:
     import ctypes
     import gc
 
+    import pyarrow as pa
+
     if _KEPT:
         _KEPT.clear()
         gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -503,6 +503,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = No
                 out.append(raw[keep].tobytes().decode("utf-8", "surrogatepass"))
             yield pd.Series(out, dtype=object)
 
+    # Were it deterministic, a filter on the new text would be pushed below and run it a second time, in workers of its own.
+    cut = cut.asNondeterministic()
     found, back = with_spans(docs, length)
     return found.withColumn("text", cut(F.col("text").cast("string"), "_spans")).drop("_spans").withColumnsRenamed(back).select(*docs.columns)
 
