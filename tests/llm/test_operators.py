@@ -551,6 +551,22 @@ def test_paths_have_one_label(spark):
     assert set(got.values()) == {0, 100} and got[40] == 0
 
 
+def test_ties_keep_the_components(spark):
+    """Random links, some doubled, turned round or from a vertex to itself, against a plain search."""
+    rng = random.Random(5)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(7, 7), (300, 300), (9, 8), (8, 9), (8, 9)]
+    label = {v: v for e in links for v in e}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r["v"]: r["label"] for r in components.connected_components(df, Scratch(spark, "cc"), "t").collect()}
+    assert got == label
+    # forty vertices tied to the same five smaller ones: one link each, and four among the five
+    star = [(v, u) for v in range(10, 50) for u in range(5)]
+    assert components.tied(spark.createDataFrame(star, "a long, b long")).count() == 44
+
+
 # the pipeline
 
 
