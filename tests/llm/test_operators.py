@@ -309,6 +309,21 @@ def test_cut_texts_stay_text(spark):
     assert got[1] == "xy" and got[2] == "" and got[3] is None and got[4] == "short"
 
 
+def test_frequent_anchors_fill_no_bucket(spark, tmp_path):
+    """700 texts with one string of 60 bytes, 30 of them with one of 500: no group of contexts grows with them."""
+    rng = random.Random(4)
+    common, passage = prose(rng, 40)[:60], prose(rng, 200)[:500]
+    texts = [prose(rng, 70) + " " + common + " " + (passage if i < 30 else "") + prose(rng, 70) for i in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    uris, many, _, _ = suffix_dedup._count_anchors(docs, 400, 2, np.zeros(0, np.uint64), Scratch(spark, "frequent").path("anchors"))
+    groups = suffix_dedup.contexts(docs, uris, many, np.zeros(0, np.uint64), 400).select("anchor", "context").distinct().groupBy("anchor").count()
+    assert 0 < groups.agg({"count": "max"}).first()[0] <= 64
+    raw, keep = brute_repeats(texts, 400)
+    got = {r["doc_id"]: r["kept_sha256"] for r in suffix_dedup.digests(docs).collect()}
+    assert any(not k.all() for k in keep)
+    assert got == {i: hashlib.sha256(np.frombuffer(b, np.uint8)[k].tobytes()).hexdigest() for i, (b, k) in enumerate(zip(raw, keep, strict=True))}
+
+
 def test_stage_cuts_every_passage_of_over_50_words(spark):
     import corpus_pipeline as c
 
