@@ -101,7 +101,12 @@ def mask_json(df: DataFrame, paths: list[str], policy: Policy, secret: bytes, bo
             entries.extend(m.entries)
             return m.text
 
+        def reserve(s: str) -> str:
+            state.reserve(s)
+            return s
+
         try:
+            json_paths.replace_strings(row[0], paths, reserve)
             return json_paths.replace_strings(row[0], paths, mask), entries, None
         except (TypeError, json.JSONDecodeError) as e:
             return None, [], f"bad_json: {e}"
@@ -113,8 +118,9 @@ def demask_json(df: DataFrame, paths: list[str], body: str = "body") -> DataFram
     """df with demasked: strings at the paths of a JSON body restored by the row's entries."""
 
     def one(row: tuple) -> tuple:
+        met: dict[str, int] = {}
         try:
-            return (json_paths.replace_strings(row[0], paths, lambda s: masking.demask_text(s, row[1] or [])[0]),)
+            return (json_paths.replace_strings(row[0], paths, lambda s: masking.demask_text(s, row[1] or [], met)[0]),)
         except (TypeError, json.JSONDecodeError):
             return (None,)
 

@@ -126,6 +126,20 @@ def test_demasking():
     assert K.demask_text("[ФИО_2]", entries) == ("[ФИО_2]", 0, 1)
 
 
+@pytest.mark.parametrize("text", ["почта A@b.ru и a@B.ru, снова A@b.ru", "тел +7 912 345-67-89 или +7 (912) 345 67 89", "в шаблоне EMAIL_1 и [EMAIL 2], почта a@b.ru, c@d.ru", "<EMAIL_1> a@b.ru, A@B.ru"])
+def test_spellings_and_placeholders_of_the_text_come_back(text):
+    m = K.mask_text(text, POLICY, LISTS, b"k")
+    assert m.entries and K.demask_text(m.text, m.entries)[0] == text
+
+
+def test_spellings_come_back_from_json(spark):
+    from maskwright.plans.masking import demask_json, mask_json
+
+    body = '{"a":"почта A@b.ru","b":"почта a@b.ru, EMAIL_1"}'
+    df = mask_json(spark.createDataFrame([(body,)], "body string"), ["$.a", "$.b"], POLICY, b"k")
+    assert demask_json(df.select(df.masked.alias("body"), "entries"), ["$.a", "$.b"]).first()["demasked"] == body
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sampled_from(["Иванов Иван Иванович", "Петрова Анна"]), st.from_regex(r"\+7 9[0-9]{2} [0-9]{3}-[0-9]{2}-[0-9]{2}", fullmatch=True), st.from_regex(r"[a-z]{1,8}@[a-z]{2,8}\.ru", fullmatch=True))
 def test_masking_comes_back(name, phone, email):
