@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from .plans import policies as PL
 from .plans import reports as R
 from .plans import sessions as S
 from .sources.config import DEFAULT, policy_for
+from .sources.shared import Scratch
 
 SECRET = b"a test key of no worth at all...."
 POLICY = policy_for(DEFAULT, "crm-assistant")
@@ -561,16 +561,17 @@ def stream_vault(spark, d):
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = f"{d}/events.parquet"
-    name = "stream_" + uuid.uuid4().hex[:8]
+    scratch = Scratch(spark, "stream")
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events*.parquet").parquet(d if path.endswith("events.parquet") else path)
     steps = source.select(F.lit("crm-assistant").alias("system_id"), F.col("user_id").cast("string").alias("payload_id"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("mail u"), F.col("user_id").cast("string"), F.lit("@x.org ")).alias("payload"))
-    q = correlate(steps, POLICY, SECRET, ttl_seconds=0).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    done = correlate(steps, POLICY, SECRET, ttl_seconds=0)
+    # Answers go to files, as they are as many as the events; the trigger ends when all have been read.
+    q = done.writeStream.format("parquet").option("path", scratch.path("out")).option("checkpointLocation", scratch.path("state")).outputMode("append").trigger(availableNow=True).start()
     try:
-        if not q.awaitTermination(120):
-            raise TimeoutError("the stream didn't end in time")
+        q.awaitTermination()
     finally:
         q.stop()
-    return spark.table(name).groupBy("outcome").agg(F.count("*").alias("n"), F.countDistinct("payload_id").alias("users"))
+    return spark.read.schema(done.schema).parquet(scratch.path("out")).groupBy("outcome").agg(F.count("*").alias("n"), F.countDistinct("payload_id").alias("users"))
 
 
 ASKED = (

@@ -29,19 +29,22 @@ class SessionVault(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         todo = pd.concat(list(rows)).sort_values(["ts", "request_id"])
-        out = []
-        for r in todo.itertuples():
-            kept = json.loads(self.vault.get()[0]) if self.policy.demask and self.vault.exists() else None
-            if kept is None:
-                m = mask_text(r.payload, self.policy, self.lists, self.secret)
-                self.vault.update((json.dumps({"original": r.payload, "masked": m.text, "entries": m.entries}),))
+        # The state is a process away: it is read once for all rows, and written when it changes.
+        kept = json.loads(self.vault.get()[0]) if self.policy.demask and self.vault.exists() else None
+        out, changed = [], False
+        for payload in todo["payload"].tolist():
+            if kept is None or not self.policy.demask:
+                m = mask_text(payload, self.policy, self.lists, self.secret)
+                kept, changed = {"original": payload, "masked": m.text, "entries": m.entries}, True
                 out.append(("masked", m.text))
-            elif r.payload == kept["original"]:
+            elif payload == kept["original"]:
                 out.append(("repeated", kept["masked"]))
-            elif r.payload == kept["masked"]:
+            elif payload == kept["masked"]:
                 out.append(("restored", kept["original"]))
             else:
-                out.append(("restored", demask_text(r.payload, kept["entries"])[0]))
+                out.append(("restored", demask_text(payload, kept["entries"])[0]))
+        if changed:
+            self.vault.update((json.dumps(kept),))
         yield pd.DataFrame({"system_id": key[0], "payload_id": key[1], "request_id": todo["request_id"].to_numpy(), "outcome": [o for o, _ in out], "result": [t for _, t in out]})
 
     def close(self) -> None:

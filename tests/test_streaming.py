@@ -24,6 +24,39 @@ def test_steps_of_two_ids(spark, tmp_path):
     assert got == {1: ("masked", "почта [EMAIL_1]"), 2: ("repeated", "почта [EMAIL_1]"), 3: ("restored", "почта a@b.ru"), 4: ("restored", "вот a@b.ru!"), 5: ("masked", "чисто")}
 
 
+def test_answers_go_to_files(spark):
+    """As many answers as events: none stay in the driver, and the vault is read once for all rows of an id."""
+    import pandas as pd
+
+    from maskwright.operators.detectors import Lists
+    from maskwright.queries import stream_vault
+    from maskwright.streaming.sessions import SessionVault
+
+    assert {r["outcome"] for r in stream_vault(spark, "/root/testdata/sf0.001").collect()} == {"masked", "repeated"}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("stream_")]
+
+    class Vault:
+        value, calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    p = SessionVault(POLICY, SECRET, Lists(), 0)
+    p.vault = Vault()
+    rows = pd.DataFrame({"ts": range(100), "request_id": range(100), "payload": ["почта a@b.ru", "[EMAIL_1]"] * 50})
+    for calls in (2, 4):
+        out = pd.concat(p.handleInputRows(("s", "i"), iter([rows[:60], rows[60:]]), None))
+        assert p.vault.calls == calls and set(out["outcome"][2:]) == {"repeated", "restored"}
+
+
 def test_sealed_contexts(spark):
     from pyspark.sql import functions as F
 
