@@ -3,9 +3,9 @@
 The models' counts of word pairs lie in sorted shards. Documents' pairs are dealt by shard into
 files, and each shard's counts are joined with its pairs: a stored pair adds to its document
 what it is likelier than the back-off says. The sums by document are the log probabilities. The
-vocabulary of the sample, which is bounded, is mapped where texts are read.
+vocabulary, in shards too, is mapped where texts are read.
 
-There are two models, each of one half of the texts (by hash), and a text is scored by the model
+There are two models, each of one half of the trusted texts (by hash), all of them, and a text is scored by the model
 of the other half: no model knows what it scores, so the quantiles are over all trusted
 documents and hold for every other one, too. Text that says one thing over and over has no
 odd perplexity under word pairs on either side; the share of its pairs that it had before tells it.
@@ -13,6 +13,7 @@ odd perplexity under word pairs on either side; the share of its pairs that it h
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -20,13 +21,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, IntegralType, StructField, StructType
 
 from .common import Scratch, keep, set_aside, slices
-from .lm_scoring import Model, Reader, _map, _write, shard_of_pair, train, words_of
+from .lm_scoring import BLOBS, Model, Reader, _dealt, _map, _write, by_shard, shard_of_hash, shard_of_pair, train, words_of
+from .suffix_dedup import _among
 
-#: Trusted documents that the two models learn from together, about: a bounded sample of the labelled rows.
-SAMPLE = 20_000
 #: The share of a language's trusted documents that lie under each of its two cuts.
 QUANTILE = 0.995
 
@@ -74,7 +74,9 @@ def _from_planes(raw: bytes, kind: str) -> np.ndarray:
 
 #: Tokens of which pairs are dealt together.
 DEAL = 1_000_000
-ADDED = ("_chunk", "_row", "_shard", "_pairs", "_rows", "_base", "_gain", "n_tokens", "perplexity", "repeats")
+#: Folders that tasks deal pairs into, at most: files are as many as tasks times these.
+FOLDERS = 64
+ADDED = ("_chunk", "_row", "_shard", "_part", "_pairs", "_rows", "_base", "_gain", "n_tokens", "perplexity", "repeats")
 
 
 def perplexity(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
@@ -129,9 +131,11 @@ def perplexity(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
         if size:
             yield from blobs()
 
-    # Written, so that a task that runs again can't number documents otherwise; a folder a shard.
-    docs.mapInArrow(deal, schema).write.partitionBy("_shard").option("compression", "zstd").parquet(scratch.path("dealt"))
-    dealt = spark.read.schema(schema).parquet(scratch.path("dealt"))
+    # Written, so that a task that runs again can't number documents otherwise; a folder a shard, up to so many, and shard after shard in a file.
+    part = F.when(F.col("_shard") < 0, -1).otherwise(F.col("_shard") % FOLDERS).alias("_part")
+    rows = docs.mapInArrow(deal, schema).select("*", part)
+    (rows.sortWithinPartitions("_part", "_shard") if model.shards > FOLDERS else rows).write.partitionBy("_part").option("compression", "zstd").parquet(scratch.path("dealt"))
+    dealt = spark.read.schema(StructType([*schema, StructField("_part", IntegerType())])).parquet(scratch.path("dealt"))
     files = gains(model, scratch)
 
     def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,37 +153,82 @@ def perplexity(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
                 some = np.flatnonzero(total)
                 yield pd.DataFrame({"_c": chunk, "_r": some.astype(np.int32), "_g": total[some]})
 
-    sums = dealt.where("_shard >= 0").select("_shard", "_chunk", "_pairs", "_rows").mapInPandas(join, "_c string, _r int, _g double")
+    sums = dealt.where("_part >= 0").select("_shard", "_chunk", "_pairs", "_rows").mapInPandas(join, "_c string, _r int, _g double")
     # Added in order of size, so that a sum doesn't depend on which shard came first.
     sums = sums.groupBy("_c", "_r").agg(F.aggregate(F.array_sort(F.collect_list("_g")), F.lit(0.0), lambda a, x: a + x).alias("_gain"))
-    out = dealt.where("_shard = -1").join(sums, (F.col("_chunk") == F.col("_c")) & (F.col("_row") == F.col("_r")), "left")
+    out = dealt.where("_part = -1").join(sums, (F.col("_chunk") == F.col("_c")) & (F.col("_row") == F.col("_r")), "left")
     score = F.col("_base") + F.coalesce("_gain", F.lit(0.0))
     out = out.withColumn("perplexity", F.pow(F.lit(10.0), -score / F.col("n_tokens")))
     return out.select(*(c for c in docs.columns if c != "text"), "n_tokens", "repeats", "perplexity").withColumnsRenamed(back)
 
 
 def with_perplexity(docs: DataFrame, models: tuple[Model, Model]) -> DataFrame:
-    """docs without text, with n_tokens, repeats and perplexity by the model that hasn't learned the text's half."""
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    half = [perplexity(docs.where(F.coalesce(_half(), F.lit(0)) == h), models[1 - h], Scratch(docs.sparkSession, "quality")) for h in (0, 1)]
-    return half[0].unionByName(half[1])
+    """docs without text, with n_tokens, repeats and perplexity by the model that hasn't learned the text's half, written."""
+    docs, halves = docs.withColumn("text", F.col("text").cast("string")), []
+    for h in (0, 1):  # one after the other: the pairs of one half are gone when the other's are dealt
+        scratch = Scratch(docs.sparkSession, "quality")
+        halves.append(scratch.write(perplexity(docs.where(F.coalesce(_half(), F.lit(0)) == h), models[1 - h], scratch), "scored"))
+        scratch.drop("dealt")
+        scratch.drop("gains")
+    return halves[0].unionByName(halves[1])
 
 
 def _good(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select(F.col("doc_id").alias("_good")).dropna().distinct()
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, Model]:
-    """Models of documents with labels.quality 1, a half each; about sample rows, drawn by a hash of the text, are read.
+def trusted(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The texts of all documents with labels.quality 1, one of each row; null texts go.
 
-    Null texts and labels without a document teach nothing; repeated rows teach each. Only ids meet all labels.
+    The ids' hashes are sorted files that workers map, so no text is shuffled. Spark's hash of
+    a long is a bijection; other ids are compared after it, on what is left.
     """
-    mine = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    trusted = lambda d: d.join(_good(labels), F.col("_id") == F.col("_good"), "left_semi")
-    share = int((1 << 20) * min(1.0, sample / max(trusted(mine.select("_id")).count(), 1)))
-    drawn = trusted(mine.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share))
-    picked = Scratch(docs.sparkSession, "quality").write(drawn.select("text"), "trusted")
-    return tuple(train(picked.where(_half() == h), Scratch(docs.sparkSession, "quality")) for h in (0, 1))
+    good, root = _good(labels), scratch.path("good")
+    whole = all(isinstance(d.schema[c].dataType, IntegralType) for d, c in ((docs, "doc_id"), (good, "_good")))
+    key = lambda c: F.xxhash64(F.col(c).cast("long" if whole else "string"))
+    n = 1 << max(0, int(np.ceil(np.log2(max(1, good.count()) / (1 << 20)))))
+
+    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            h = p["h"].to_numpy().view(np.uint64)
+            yield _dealt(h, np.zeros(len(h), np.uint8), shard_of_hash(h, n))
+
+    def merge(p: pd.DataFrame) -> pd.DataFrame:
+        h = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in p["k"]]))
+        return pd.DataFrame({"shard": p["shard"].iloc[:1], "uri": [_write(root, h)]})
+
+    uris: list = [None] * n
+    for r in by_shard(good.select(key("_good").alias("h")).mapInPandas(deal, BLOBS), n).applyInPandas(merge, "shard long, uri string").collect():
+        uris[r["shard"]] = r["uri"]
+
+    def pick(batches):
+        import pyarrow as pa
+
+        have = [_map(u, "<u8") for u in uris]
+        for b in batches:
+            yield b.filter(pa.array(_among(have, b.column(0).to_numpy().view(np.uint64))))
+
+    mine = docs.select(key("doc_id").alias("_h"), F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).dropna()
+    found = mine.mapInArrow(pick, mine.schema)
+    return (found if whole else found.join(good, F.col("_id") == F.col("_good"), "left_semi")).select("text")
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> tuple[Model, Model]:
+    """Models of all documents with labels.quality 1, a half each; with sample, of about so many, drawn by a hash of the text.
+
+    Null texts and labels without a document teach nothing; repeated rows teach each.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    good = trusted(docs, labels, scratch)
+    picked = scratch.write(good, "trusted")
+    if sample is not None:
+        share = int((1 << 20) * min(1.0, sample / max(picked.count(), 1)))
+        picked = picked.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
+    models = tuple(train(picked.where(_half() == h), Scratch(docs.sparkSession, "quality")) for h in (0, 1))
+    scratch.drop("trusted")
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()  # else what training shuffled stays until the driver happens to collect its garbage
+    return models
 
 
 def cuts_of(scored: DataFrame, labels: DataFrame, models: tuple[Model, Model]) -> dict[str | None, tuple[float, float]]:
@@ -199,10 +248,10 @@ def cuts_of(scored: DataFrame, labels: DataFrame, models: tuple[Model, Model]) -
 def _scored(docs: DataFrame, models: tuple[Model, Model]) -> DataFrame:
     """doc_id, lang, whether there is a text (_known) and with_perplexity()'s columns, written."""
     rows = docs.select("doc_id", "lang", "text", F.col("text").isNotNull().alias("_known"))
-    return Scratch(docs.sparkSession, "quality").write(with_perplexity(rows, models), "scored")
+    return with_perplexity(rows, models)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[tuple[Model, Model], dict[str | None, tuple[float, float]]]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> tuple[tuple[Model, Model], dict[str | None, tuple[float, float]]]:
     """The models of learn() and the cuts of cuts_of() over the trusted documents among docs (doc_id, lang, text)."""
     models = learn(docs, labels, sample)
     return models, cuts_of(_scored(docs, models), labels, models)

@@ -232,6 +232,18 @@ def test_quality_cuts_are_over_all_trusted_documents(spark):
     assert cuts == {} and all(r["kept"] for r in quality.judge(docs, models, cuts).collect())
 
 
+def test_quality_learns_from_every_trusted_document(spark):
+    """21,000 trusted documents, more than any bounded draw of before; ids of another kind, null and unknown ones too."""
+    rows = [(i, f"alpha beta w{i}" if i % 7 else None) for i in range(24_500)]
+    docs = spark.createDataFrame([*rows, (None, "gone")], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, 1 if i < 24_000 else 0) for i in range(25_000)] + [(None, 1), (5, 1)], "doc_id long, quality int")
+    want = sum(t is not None for i, t in rows if i < 24_000)
+    models = quality.learn(docs, labels)
+    assert sum(m.n_docs for m in models) == want > 20_000 and min(m.n_docs for m in models) > 0
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string"))
+    assert quality.trusted(named, labels.withColumn("doc_id", labels.doc_id.cast("string")), Scratch(spark, "q")).count() == want
+
+
 def test_joined_perplexity_equals_the_scorer(spark, docs, rows):
     """The sharded join of counts gives what scoring word by word gives, which is held against the formula; awkward rows included."""
     model = lm_scoring.train(docs.where("doc_id % 3 != 0"), Scratch(spark, "lm"))
