@@ -1,7 +1,9 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
 Hashed word embeddings, filters of several widths, maximum over the whole text, logistic
-output. Decision thresholds are calibrated by language on rows kept from training.
+output. A start is trained on a bounded draw; from it every task trains on all labelled texts that
+it reads, and the tasks' weights are averaged. The scale of the output and the decision thresholds
+by language are over all labelled texts kept from training.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bucket_of, keep, slices
 from .decontamination import words_of
+from .lm_scoring import BLOBS, _dealt, _map, _write, by_shard, shard_of_hash
 
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 15, 12, 12, (1, 2, 3)
 #: Bytes of a word's beginning that has an embedding too, shared by the words that begin with it.
 PREFIX = 4
-#: Distinct labelled texts of each class that training and calibration read, about, and their bytes at most.
+#: Distinct labelled texts of each class that the start is trained on, about, and their bytes at most.
 SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
+#: Texts, and their bytes about, that a task trains on at once; how fast; and steps of a logit in calibration.
+CHUNK, CHUNK_BYTES, RATE, GRID = 1024, 4 << 20, 0.002, 64
 
 
 class TextCnn:
@@ -35,7 +40,7 @@ class TextCnn:
         for w in WIDTHS:
             self.p[f"w{w}"], self.p[f"b{w}"] = r.normal(0, (w * SIZE) ** -0.5, (w, SIZE, FILTERS)), np.zeros(FILTERS)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.thresholds, self.remember, self.number, self.rows = {}, remember, {}, None
+        self.thresholds, self.remember, self.number, self.rows, self.trained = {}, remember, {}, None, 0
 
     def __getstate__(self):
         return self.__dict__ | {"number": {}, "rows": None}
@@ -92,12 +97,13 @@ class TextCnn:
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -30, 30))))
 
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 7, least_steps: int = 800) -> None:
-        """Adam on the logistic loss over ids() of texts; only the words at the maxima get a gradient. Both classes weigh the same."""
+    def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 7, least_steps: int = 800, share: float | None = None) -> None:
+        """Adam on the logistic loss over ids() of texts; only the words at the maxima get a gradient. Both classes weigh the same, by their share of label 1 (None: as in labels)."""
+        share = float(labels.mean()) if share is None else share
         r = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
+        weight = np.where(labels == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
         step, epochs = 0, max(epochs, -(-least_steps * batch // len(docs)))
         for _ in range(epochs):
             order = r.permutation(len(docs))
@@ -160,14 +166,14 @@ def _logistic(z: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> TextCnn:
-    """Learns labels.toxic from the texts of docs, from about sample distinct texts of each class.
-
-    The sample is drawn by a hash of the text, so it is one of distinct texts however often each
-    is copied; a text that would take a class over SAMPLE_BYTES is passed over. Three in four of
-    them train; on the rest the output is scaled to a probability, and a cut for each language
-    with 20 of either class is kept in thresholds. Null labels, and labels without a document,
-    teach nothing; a text with both labels, from rows of one doc_id or copies, counts in both
-    classes. Without both classes the model stays as it was drawn, with the classes' share as its bias.
+    """Learns labels.toxic from all labelled texts of docs, each distinct one once for a class.
+
+    About sample of each class, drawn by a hash of the text and of SAMPLE_BYTES at most, give a
+    start; _refine() goes on over all. Three in four texts train; on all the others the output is
+    scaled to a probability, and a cut for each language with 20 of either class is kept in
+    thresholds. Null labels, and labels without a document, teach nothing; a text with both
+    labels, from rows of one doc_id or copies, counts in both classes. Without both classes the
+    model stays as it was drawn, with the classes' share as its bias.
     """
     text = F.col("text").cast("string")
     # Only ids and hashes of texts meet all labels.
@@ -194,23 +200,118 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> TextCnn:
     found = docs.select(F.col("doc_id").alias("id"), text.alias("text"), lang).withColumn("h", F.xxhash64("text")).join(wanted, ["id", "h"])
     rows = found.groupBy("h", "toxic").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).select("text", "lang", "toxic", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(4)).alias("fold")).orderBy("h", "toxic").collect()
     y, fold = np.array([r["toxic"] for r in rows], np.float32), np.array([r["fold"] for r in rows])
-    train, test = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
+    train = np.flatnonzero(fold != 0)
     model.fit([model.ids(words_of(rows[i]["text"])) for i in train], y[train])
-    z = np.array([model.logit(rows[i]["text"]) for i in test])
-    weight = np.where(y[test] == 1, 1 / share[1], 1 / share[0])
-    if 0 < y[test].sum() < len(test):
-        scale, shift = _logistic(z, y[test], weight)
+    pick = _picker(marked, sum(size.values()), Scratch(docs.sparkSession, "toxicity").path("marks"))
+    texts = docs.select(F.xxhash64(F.xxhash64(text), F.col("doc_id").cast("string")).alias("key"), F.coalesce(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(4)), F.lit(1)).alias("fold"), text.alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
+    _refine(model, texts.where("fold <> 0").select("key", "text"), pick, size[1] / (size[0] + size[1]))
+    bins = _logits(model, texts.where("fold = 0").select("key", "text", "lang"), pick)
+    z, y, weight, lang = (np.array([r[k] for r in bins]) for k in ("z", "toxic", "n", "lang"))
+    if len(bins) and 0 < (y * weight).sum() < weight.sum():
+        scale, shift = _logistic(z, y, weight)
         model.p["out"] *= np.float32(scale)
         model.p["bias"][0] = model.p["bias"][0] * scale + shift
         z = z * scale + shift
-        lang = np.array([r["lang"] or "" for r in rows])[test]
         for k in np.unique(lang):
             at = lang == k
-            if min(y[test][at].sum(), (1 - y[test][at]).sum()) >= 20:
-                model.thresholds[str(k)] = float(1 / (1 + np.exp(-_best_threshold(z[at], y[test][at], weight[at]))))
+            if min((y * weight)[at].sum(), ((1 - y) * weight)[at].sum()) >= 20:
+                model.thresholds[str(k)] = float(1 / (1 + np.exp(-_best_threshold(z[at], y[at], weight[at].astype(float)))))
     return model
 
 
+def _picker(marked: DataFrame, size: int, root: str):
+    """A function of keys (of a text and its id): the places of those that are marked, and 1 or 0 of each; a text with both has two.
+
+    The keys are sorted files that workers map, so no text is shuffled.
+    """
+    n = 1 << max(0, int(np.ceil(np.log2(max(1, size) / (1 << 20)))))
+
+    def deal(parts):
+        for p in parts:
+            k = p["key"].to_numpy().view(np.uint64)
+            yield _dealt(k, p["toxic"].to_numpy().astype(np.uint8), shard_of_hash(k, n))
+
+    def merge(p):
+        import pandas as pd
+
+        k, y = np.concatenate([np.frombuffer(x, "<u8") for x in p["k"]]), np.concatenate([np.frombuffer(x, np.uint8) for x in p["c"]])
+        return pd.DataFrame({"shard": p["shard"].iloc[:1], **{f"of{v}": [_write(root, np.unique(k[y == v]))] for v in (0, 1)}})
+
+    keys = marked.where(F.col("toxic").isin(0, 1)).select(F.xxhash64("h", F.col("id").cast("string")).alias("key"), "toxic")
+    files = {r["shard"]: r for r in by_shard(keys.mapInPandas(deal, BLOBS), n).applyInPandas(merge, "shard long, of0 string, of1 string").collect()}
+    uris = [[files[s][f"of{v}"] if s in files else None for s in range(n)] for v in (0, 1)]
+
+    def pick(keys: np.ndarray) -> list[tuple[int, int]]:
+        from .suffix_dedup import _among
+
+        keys = keys.view(np.uint64)
+        return [(int(i), v) for v in (0, 1) for i in np.flatnonzero(_among([_map(u, "<u8") for u in uris[v]], keys))]
+
+    return pick
+
+
+def _refine(model: TextCnn, texts: DataFrame, pick, share: float) -> None:
+    """One pass over all marked texts: each task trains the model on its own, and weights are averaged by how many texts it had."""
+    import pandas as pd
+
+    parts, shapes = 16, {k: v.shape for k, v in model.p.items()}
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def train(batches):
+        import copy
+
+        import pyarrow as pa
+
+        m, n, got, size = copy.deepcopy(sent.value), 0, [], 0
+
+        def step():
+            order = np.random.default_rng(n).permutation(len(got))
+            m.fit([m.ids(words_of(got[i][0])) for i in order], np.array([got[i][1] for i in order], np.float32), epochs=1, rate=RATE, least_steps=0, share=share)
+
+        for b in batches:
+            column = b.column(1)
+            for i, v in pick(b.column(0).to_numpy()):
+                got.append((column[i].as_py(), v))
+                size += len(got[-1][0] or "")
+                if len(got) >= CHUNK or size > CHUNK_BYTES:
+                    step()
+                    n, got, size = n + len(got), [], 0
+        if got:
+            step()
+            n += len(got)
+        if n:
+            flat = np.array_split(np.concatenate([v.ravel() for v in m.p.values()]), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int64()), pa.array([n] * parts, pa.int64()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["part", "n", "w"])
+
+    def mean(p):
+        total = sum(n * np.frombuffer(w, np.float32).astype(float) for n, w in zip(p["n"], p["w"], strict=True)) / p["n"].sum()
+        return pd.DataFrame({"part": p["part"].iloc[:1], "w": [total.astype(np.float32).tobytes()], "n": [int(p["n"].sum())]})
+
+    rows = sorted(texts.mapInArrow(train, "part long, n long, w binary").groupBy("part").applyInPandas(mean, "part long, w binary, n long").collect())
+    if rows:
+        flat, at = np.concatenate([np.frombuffer(r["w"], np.float32) for r in rows]), 0
+        for k, shape in shapes.items():
+            n = int(np.prod(shape))
+            model.p[k], at = flat[at : at + n].reshape(shape).copy(), at + n
+        model.trained = rows[0]["n"]
+
+
+def _logits(model: TextCnn, texts: DataFrame, pick) -> list:
+    """How many marked texts have a logit z (in steps of 1/GRID), by lang and label."""
+    import pyarrow as pa
+
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = sent.value
+        for b in batches:
+            found = pick(b.column(0).to_numpy())
+            z = [round(float(np.clip(m.logit(b.column(1)[i].as_py()), -30, 30)) * GRID) / GRID for i, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), pa.array([v for _, v in found], pa.int64()), pa.array([b.column(2)[i].as_py() for i, _ in found], pa.string())], names=["z", "toxic", "lang"])
+
+    return texts.mapInArrow(run, "z double, toxic long, lang string").groupBy("z", "toxic", "lang").agg(F.count("*").alias("n")).orderBy("z", "toxic", "lang").collect()
+
+
 def classify(docs: DataFrame, model: TextCnn) -> DataFrame:
     """docs with score (0 to 1), predicted (1 from 0.5 on) and toxic_calibrated (by the cut of the row's lang).
 

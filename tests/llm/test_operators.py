@@ -387,6 +387,17 @@ def test_toxicity_learns(spark):
     assert {r["predicted"] for r in toxicity.classify(docs, untaught).collect()} == {0}
 
 
+def test_toxicity_trains_on_every_labelled_text(spark):
+    """5,000 distinct texts of one class, more than the start draws; copies and a null text count once or not at all."""
+    rows = [(i, f"plain words {i}" if i % 9 else f"vile words {i}", int(i % 9 == 0)) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(7000, "plain words 1"), (7001, "never marked")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7000, 0), (9999, 1), (7001, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.trained == docs.where("doc_id < 6000 AND pmod(xxhash64(text, 1), 4) <> 0").count() > 2 * toxicity.SAMPLE
+    right = [r["predicted"] == r["text"].startswith("vile") for r in toxicity.classify(docs, model).collect()]
+    assert sum(right) >= 0.99 * len(right)
+
+
 # 7: vectors
 
 
