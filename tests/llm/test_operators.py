@@ -286,6 +286,19 @@ def test_repeats(spark, docs, rows, length):
     assert suffix_dedup.digests(empty(spark), length).count() == 0
 
 
+def test_planted_passages_show_in_n_removed(spark):
+    """A passage of over 50 words goes from where it takes 400 bytes; n_bytes is the whole text's length, with or without one."""
+    rng = random.Random(15)
+    fresh = lambda n: " ".join(f"u{rng.getrandbits(40)}" for _ in range(n))
+    planted = [" ".join(f"{rng.randrange(10**6, 10**7)}"[: 6 if k < n else 7] for k in range(51)) for n in (51, 10, 7, 0)]
+    assert [len(p) for p in planted] == [356, 397, 400, 407]
+    texts = [f"{fresh(30)}{i}({planted[i // 2]}){i}{fresh(9 + i)}" for i in range(8)] + [fresh(60), ""]
+    got = {r["doc_id"]: r for r in suffix_dedup.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        gone = {4: 402, 5: 402, 6: 409, 7: 409}.get(i, 0)  # with the brackets, which are equal too
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) == (len(t), gone, int(gone > 0))
+
+
 def test_repeats_with_frequent_anchors_put_last(rows):
     texts = [r[1] for r in rows if r[1] and len(r[1].encode()) >= 400]
     raw = texts[0].encode()
