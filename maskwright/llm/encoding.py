@@ -7,7 +7,7 @@ ids of the text are those of its pieces in turn. Pieces repeat, and their ids ar
 from __future__ import annotations
 
 import os
-from itertools import filterfalse
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -44,8 +44,8 @@ def _pieces_bytes(text: str) -> list[str] | None:
 class TextEncoder:
     """ids(texts) as little-endian unsigned 32-bit bytes, equal to the library's encoding of each whole text."""
 
-    #: Punctuation that the pre-tokenizers cut off a letter before it, whatever follows.
-    AFTER_LETTER = ".,;:!?"
+    #: ASCII marks that the pre-tokenizers cut off a letter before them, whatever follows (not those of contractions and special tokens).
+    AFTER_LETTER = ".,;:!?#$%&*"
 
     def __init__(self, path: str, limit: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,9 +55,11 @@ class TextEncoder:
         byte_level = "ByteLevel" in type(self.tok.pre_tokenizer).__name__
         self.lead = " " if byte_level else ""
         self.pieces = _pieces_bytes if byte_level else _pieces_spaces
-        #: Tokens that begin (byte level) or end a word of letters.
-        self.edge = np.zeros(self.vocab_size, bool)
-        self.edge[[i for t, i in self.tok.get_vocab().items() if (t[0] == "\u0120" if byte_level else t.endswith("</w>"))]] = True
+        #: The model's letters for Latin-1 characters: one for each byte of their UTF-8.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
+        self.letters = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+        self.model = self.tok.model
         self.limit, self.new, self.old = limit, {}, {}
 
     @property
@@ -68,26 +70,23 @@ class TextEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Of words of Latin-1 letters, each after a blank: one call for all, cut at the tokens that begin or end a word."""
-        if not words:
-            return []
-        ids = np.array(self.tok.encode_batch_fast([self.lead + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = np.flatnonzero(self.edge[ids]) + (not self.lead)
-        ends = [*at[1:].tolist(), len(ids)] if self.lead else at.tolist()
-        starts = at.tolist() if self.lead else [0, *ends[:-1]]
-        if len(at) != len(words) or (ends[-1] != len(ids)) or starts[0]:
-            return self._encode([self.lead + w for w in words])
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
-
-    def _look_up(self, pieces: list[list[str]]) -> None:
-        """Puts every piece into the newer generation."""
+        """Of words of Latin-1 letters, each after a blank: such a word is one piece of the pre-tokenizer, so the model alone is asked."""
+        if not self.lead:
+            words = [w.lower() for w in words]
+        blank, letters, split = self.letters[0x20] if self.lead else "", self.letters, self.model.tokenize
+        ids = [[t.id for t in split(blank + (w if w.isascii() else w.translate(letters)))] for w in words]
+        raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = list(accumulate(4 * len(x) for x in ids))
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ids else []
+
+    def _look_up(self, pieces: list[list[str]]) -> list[list[bytes]]:
+        """The ids of every piece; those that weren't in the newer generation are put there."""
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing: set[str] = set()
-        for c in pieces:
-            missing.update(filterfalse(new.__contains__, c))
+        found = [list(map(new.get, c)) for c in pieces]
+        holes = [(c, f, [i for i, v in enumerate(f) if v is None]) for c, f in zip(pieces, found, strict=True) if None in f]
+        missing = {c[i] for c, _, at in holes for i in at}
         ended, fresh = [], set()
         for p in missing:
             v = old.get(p)
@@ -114,6 +113,10 @@ class TextEncoder:
         mark = dict(zip(marks, self._encode(marks), strict=True))
         for p, b in ended:
             new[p] = new[b] + mark[p[len(b) :]]
+        for c, f, at in holes:
+            for i in at:
+                f[i] = new[c[i]]
+        return found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
@@ -122,11 +125,10 @@ class TextEncoder:
         if self.lead:  # the first piece has no blank before it
             heads = [c[0] if c and c[0] and c[0][0] != "\n" else "" for c in cut]
             cut = [c[1:] if h else c and [x for x in c if x] for c, h in zip(cut, heads, strict=True)]
-        self._look_up([c for c in cut if c])
-        get = self.new.__getitem__
+        found = self._look_up([c or [] for c in cut])
         whole = list({t for t, c in zip(texts, cut, strict=True) if c is None} | {h for h in heads if h})
         first = dict(zip(whole, self._encode(whole), strict=True)) | {"": b""}
-        return [first[t] if c is None else first[h] + b"".join(map(get, c)) for t, c, h in zip(texts, cut, heads, strict=True)]
+        return [first[t] if c is None else first[h] + b"".join(f) for t, c, h, f in zip(texts, cut, heads, found, strict=True)]
 
 
 def encoder(path: str, limit: int = PIECES) -> TextEncoder:

@@ -71,6 +71,17 @@ def test_encoder_over_awkward_characters(name):
             assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(t)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_asks_the_model_once_for_a_word_and_its_marks(name):
+    e = encoding.TextEncoder(tokenizer_file(name))
+    asked, whole = [], e._encode
+    e._encode = lambda texts: asked.extend(texts) or whole(texts)
+    texts = ["Hier größere***, größere&&& und größere.%%% größere$$$", "Größere### ÀÉª*** straße&&&'s straße*'t a<|endoftext|>*** 日本 STRASSE&&& ÉTÉ"]
+    for t, got in zip(texts, e(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == e.tok.encode(t, add_special_tokens=False).ids
+    assert not any("größere" in x and x != "größere" for x in asked)
+
+
 def test_token_files(spark, docs, rows):
     out = Scratch(spark, "t").path("ids")
     tok = encoding.TextEncoder(tokenizer_file("word_bpe_49k.json"))
