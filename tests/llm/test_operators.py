@@ -143,6 +143,20 @@ def test_language_model_of_nothing(spark, docs):
     assert lm_scoring.score(empty(spark), model).count() == 0
 
 
+def test_language_model_keeps_no_table_of_words(spark, docs, rows):
+    """Numbers come from the files, in any order of words; nothing is remembered that grows with the words met."""
+    model = lm_scoring.train(docs, Scratch(spark, "lm"))
+    read = lm_scoring.Reader(model)
+    words = [w for r in rows for w in lm_scoring.words_of(r[1])] + [b"never", b"seen", b"never"]
+    before = {k: len(v) for k, v in vars(read).items() if hasattr(v, "__len__")}
+    got = read.numbers(words)
+    assert before == {k: len(v) for k, v in vars(read).items() if hasattr(v, "__len__")}
+    every = sorted({*words} - {b"never", b"seen"}, key=lambda w: int(lm_scoring.hashes_of([w])[0]))
+    number = dict(zip(every, range(len(every)), strict=True))
+    assert got.tolist() == [number.get(w, -1) for w in words]
+    assert len(read.numbers([])) == 0
+
+
 # 3: language ID
 
 
