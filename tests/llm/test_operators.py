@@ -324,6 +324,30 @@ def test_planted_passages_show_in_n_removed(spark):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) == (len(t), gone, int(gone > 0))
 
 
+def test_passages_under_400_bytes_go_by_words_only(spark):
+    """Passages of 51, 55, 70 and 90 words: op5's columns equal its SQL, which is 0 for the first two; the word rule cuts all."""
+    import duckdb
+
+    from maskwright.llm.queries import ORACLES
+
+    rng = random.Random(16)
+    fresh = lambda n: " ".join(f"{rng.getrandbits(20):05x}" for _ in range(n))
+    planted = [fresh(n) for n in (51, 55, 70, 90)]
+    assert [len(p) for p in planted] == [305, 329, 419, 539]
+    texts = [f"{fresh(20 + i)}{i} {planted[i // 2]} {i}{fresh(40 - i)}" for i in range(8)] + [fresh(100), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    db = duckdb.connect()
+    db.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in enumerate(texts)])
+    got = sorted(tuple(r) for r in suffix_dedup.digests(docs).collect())
+    assert got == sorted(db.sql(ORACLES["op5_suffix_array_dedup"]).fetchall())
+    assert [r[2] > 0 for r in got] == [False] * 4 + [True] * 4 + [False] * 3
+    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(docs, words=suffix_dedup.PASSAGE).collect()}
+    for i, t in enumerate(texts):
+        # Blanks beside a passage may go with it.
+        assert cut[i] == t if i >= 8 else cut[i].replace(" ", "") == t.replace(planted[i // 2], "").replace(" ", "")
+
+
 def test_repeats_with_frequent_anchors_put_last(rows):
     texts = [r[1] for r in rows if r[1] and len(r[1].encode()) >= 400]
     raw = texts[0].encode()
